@@ -135,8 +135,9 @@ def matching(score: np.ndarray) -> list[tuple[int, int]]:
 
 
 def similarity(a: dict, b: dict) -> float:
-    """Of a gone and a come column: name and contents must both agree."""
-    return math.sqrt(name_similarity(a["field"], b["field"]) * value_similarity(a, b))
+    """Of a gone and a come column: name and contents must both agree. Files
+    may hold a line or two, so that contents alone never rule a pair out."""
+    return math.sqrt(name_similarity(a["field"], b["field"]) * (0.25 + 0.75 * value_similarity(a, b)))
 
 
 def compare(before: list[dict], after: list[dict]) -> list[tuple]:
@@ -178,3 +179,56 @@ def changes(raw: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["series", "run_no", "result_file", "field", "change_kind", "other_field", "score"])
 
     return pairs.select("series", "run_no", "result_file", "old", "fields").mapInPandas(run, CHANGES).distinct()
+
+
+def canonical_names(change: DataFrame, cell: DataFrame) -> DataFrame:
+    """field -> name: of names that any series renames into each other, the
+    one used in most files (ties: the least). Grows with the number of
+    distinct field names, not with the lines."""
+    edges = change.filter("change_kind = 'renamed'").select(F.col("other_field").alias("a"), F.col("field").alias("b")).distinct()
+    used = cell.groupBy("field").agg(F.approx_count_distinct("result_file").alias("uses"))
+    names = used.select(F.col("field").alias("a"), F.lit(None).cast("string").alias("b"), "uses").unionByName(edges.withColumn("uses", F.lit(None).cast("bigint")))
+
+    def link(g: pd.DataFrame) -> pd.DataFrame:
+        uses = {r.a: r.uses for r in g.itertuples() if not pd.isna(r.uses)}
+        label = {n: n for n in uses}
+
+        def top(x: str) -> str:
+            while label.setdefault(x, x) != x:
+                x = label[x]
+            return x
+
+        for r in g[g.uses.isna()].itertuples():
+            label[top(r.a)] = top(r.b)
+        best: dict[str, str] = {}
+        for n in sorted(label, key=lambda n: (-uses.get(n, 0), n)):
+            best.setdefault(top(n), n)
+        return pd.DataFrame([(n, best[top(n)]) for n in label], columns=["field", "name"])
+
+    return names.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(link, "field string, name string")
+
+
+# The columns of a verdict and their types.
+NUMBERS = ["apparent_velocity_mps", "semblance", "coincidence_fraction", "coherent_channels", "span_fraction", "track_speed_mps", "track_r2", "v_app_onset_mps", "onset_fit_r2", "channel_offset", "time_offset_s"]
+FLAG = "suppressed_false_positive"
+TEXTS = ["event_id", "classification", "phases", "file"]
+
+
+def unified(raw: DataFrame) -> DataFrame:
+    """One table of verdicts with consistent columns, one row per parsable line.
+
+    Numbers written as text become numbers, 0/1 and text flags become
+    booleans, a lone explanation becomes a list; what can't be converted is
+    null. Fields that are no verdict column are kept in the map `extra`.
+    """
+    cell = cells(parsed_lines(raw)).filter("field is not null")
+    names = canonical_names(changes(raw), cell)
+    text = F.coalesce(F.when(F.col("type") == "STRING", F.try_variant_get("value", "$", "string")), F.when(F.col("type").isNotNull(), F.to_json("value")))
+    d = cell.join(names, "field").withColumn("_text", text)
+    line = ["series", "run_no", "result_file", "line_no"]
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("_text")))
+    known = [*NUMBERS, *TEXTS, FLAG, "explanations"]
+    out = d.groupBy(*line).agg(*(pick(c).alias(c) for c in known), F.map_from_entries(F.array_distinct(F.collect_list(F.when(~F.col("name").isin(known), F.struct("field", "_text"))))).alias("extra"))
+    flag = F.lower(FLAG)
+    listed = F.coalesce(F.from_json("explanations", "array<string>"), F.when(F.col("explanations").isNotNull(), F.array("explanations")))
+    return out.select(*line, *TEXTS, *(F.col(c).try_cast("double").alias(c) for c in NUMBERS), F.when(flag.isin("true", "1", "yes"), True).when(flag.isin("false", "0", "no"), False).alias(FLAG), listed.alias("explanations"), "extra")

@@ -1 +1,15 @@
+"""Registered queries and their SQL: name -> callable, name -> text."""
 
+from __future__ import annotations
+
+from lumenarray.queries import problems
+
+MODULES = [problems]
+
+
+def queries() -> dict:
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+
+
+def sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
