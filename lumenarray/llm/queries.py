@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenarray.llm import leakage, mixing, nearest
+from lumenarray.llm import leakage, mixing, mixture, nearest, subjects
 from lumenarray.session import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.pairs(mixture.sources(table(spark, d, "unknown_clusters")))
+
+
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.described(mixture.sources(table(spark, d, "unknown_clusters")))
+
+
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return nearest.paired(spark, table(spark, d, "ledger"), table(spark, d, "resultados"), table(spark, d, "arrays"))
 
@@ -32,7 +41,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), p8_mix(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pairs, p7_found, p7_leaks, p8_mix, p8_shares)}
+def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return subjects.assign(documents, subjects.train(documents, table(spark, d, "subject_labels"), table(spark, d, "subjects")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and sentences of each subject; a document counts for each of its subjects."""
+    return p9_subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.sum("sentences").alias("sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_sources, p9_found, p9_subjects, p9_shares, p6_found, p6_pairs, p7_found, p7_leaks, p8_mix, p8_shares)}
 
 SQL: dict[str, str] = {}
 
