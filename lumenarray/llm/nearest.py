@@ -18,10 +18,9 @@ from lumenarray.functions.files import current, file_start_s, with_array
 from lumenarray.session import scratch
 
 TOLERANCE_MS = 20_000
-SLICE_ROWS = 2_000_000
+SLICE_ROWS_PER_CORE = 150_000  # in the state at a time, for each core of the cluster
 LEFT = "entity string, left_id string, t_ms bigint"
 RIGHT = "entity string, right_id string, t_ms bigint"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def nearest_stream(left: DataFrame, right: DataFrame, tolerance_ms: int) -> DataFrame:
@@ -44,13 +43,14 @@ def nearest_stream(left: DataFrame, right: DataFrame, tolerance_ms: int) -> Data
     return pairs.groupBy("entity", "bucket", "left_id", "left_time").agg(F.min("candidate").alias("nearest"))
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int = TOLERANCE_MS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int = TOLERANCE_MS, slice_rows: int | None = None) -> DataFrame:
     """nearest_stream over finite tables: left_id, right_id, gap_ms.
 
     The tables are staged in the shared folder and fed slice by slice in order
     of time, each as one micro-batch of the same streaming query, whose state
     and progress live in the shared folder too, so that it survives lost
-    executors. A last mark beyond all times lets the watermark pass every
+    executors. slice_rows bounds the state; by default it follows the number of
+    cores. A last mark beyond all times lets the watermark pass every
     horizon. Rows with a null entity, id or time take no part; left rows
     without a candidate give no row; repeated rows count once.
     """
@@ -63,34 +63,27 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int = TOLER
         low, high, n = spark.read.parquet(f"{home}/staged-{side}").agg(F.min("t_ms"), F.max("t_ms"), F.count("*")).first()
         bounds += [] if low is None else [low, high]
         total += n
+    slice_rows = slice_rows or SLICE_ROWS_PER_CORE * spark.sparkContext.defaultParallelism
     slices = max(1, math.ceil(total / slice_rows))
     cuts = []
     if slices > 1:
         cuts = sorted(set(spark.read.parquet(f"{home}/staged-left").select("t_ms").unionByName(spark.read.parquet(f"{home}/staged-right").select("t_ms")).approxQuantile("t_ms", [k / slices for k in range(1, slices)], 0.1 / slices)))
     end = (max(bounds) if bounds else 0) + 10 * tolerance_ms
     edges = [None, *map(int, cuts), None]
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "true"}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
-            for side, (_, schema) in sides.items():
-                part = spark.read.parquet(f"{home}/staged-{side}")
-                part = part if a is None else part.filter(F.col("t_ms") >= a)
-                part = part if z is None else part.filter(F.col("t_ms") < z)
-                if k == len(edges) - 2:
-                    part = part.unionByName(spark.createDataFrame([("", "", end)], schema))
-                part.write.mode("append").parquet(f"{home}/feed-{side}")
-            streams = [spark.readStream.schema(schema).parquet(f"{home}/feed-{side}") for side, (_, schema) in sides.items()]
-            query = (
-                nearest_stream(*streams, tolerance_ms).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-                .option("path", f"{home}/out").option("checkpointLocation", f"{home}/progress").start()
-            )
-            query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
+        for side, (_, schema) in sides.items():
+            part = spark.read.parquet(f"{home}/staged-{side}")
+            part = part if a is None else part.filter(F.col("t_ms") >= a)
+            part = part if z is None else part.filter(F.col("t_ms") < z)
+            if k == len(edges) - 2:
+                part = part.unionByName(spark.createDataFrame([("", "", end)], schema))
+            part.write.mode("append").parquet(f"{home}/feed-{side}")
+        streams = [spark.readStream.schema(schema).parquet(f"{home}/feed-{side}") for side, (_, schema) in sides.items()]
+        query = (
+            nearest_stream(*streams, tolerance_ms).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("path", f"{home}/out").option("checkpointLocation", f"{home}/progress").start()
+        )
+        query.awaitTermination()
     # a left row at the edge of two buckets keeps the nearer of its candidates
     out = spark.read.schema("entity string, bucket bigint, left_id string, left_time timestamp, nearest struct<gap_ms: bigint, right_id: string>").parquet(f"{home}/out")
     return out.filter("entity <> ''").groupBy("entity", "left_id", "left_time").agg(F.min("nearest").alias("n")).select("entity", "left_id", "n.right_id", "n.gap_ms")
