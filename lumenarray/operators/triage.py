@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenarray.sources.waveforms import CHANNEL
+from lumenarray.sources.waveforms import by_channel
 
 
 @dataclass(frozen=True)
@@ -33,16 +33,16 @@ class Tier0:
 def trailing_mean(cells: DataFrame, width: int, into: str = "mean") -> DataFrame:
     """Mean of the last `width` samples (fewer at the start), by prefix sums:
     one running sum and a look-back, whatever the width."""
-    d = cells.withColumn("_c", F.sum("a").over(CHANNEL.rowsBetween(Window.unboundedPreceding, 0)))
+    d = cells.withColumn("_c", F.sum("a").over(by_channel().rowsBetween(Window.unboundedPreceding, 0)))
     n = F.least(F.col("i") + 1, F.lit(width))
-    return d.withColumn(into, (F.col("_c") - F.coalesce(F.lag("_c", width).over(CHANNEL), F.lit(0))) / n).drop("_c")
+    return d.withColumn(into, (F.col("_c") - F.coalesce(F.lag("_c", width).over(by_channel()), F.lit(0))) / n).drop("_c")
 
 
 def sta_lta(cells: DataFrame, cfg: Tier0 = Tier0()) -> DataFrame:
     """arr, ch, i, ratio: short-term over delayed long-term mean energy; 1 while
     warming up. Samples are whole numbers, so the sums are exact."""
-    d = cells.withColumn("_c", F.sum(F.col("a") * F.col("a")).over(CHANNEL.rowsBetween(Window.unboundedPreceding, 0)))
-    back = lambda n: F.coalesce(F.lag("_c", n).over(CHANNEL), F.lit(0))
+    d = cells.withColumn("_c", F.sum(F.col("a") * F.col("a")).over(by_channel().rowsBetween(Window.unboundedPreceding, 0)))
+    back = lambda n: F.coalesce(F.lag("_c", n).over(by_channel()), F.lit(0))
     delay = cfg.sta + cfg.gap
     short = (F.col("_c") - back(cfg.sta)) / cfg.sta
     long = (back(delay) - back(delay + cfg.lta)) / cfg.lta

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenarray.queries import problems
+from lumenarray.queries import arrays, problems
 
-MODULES = [problems]
+MODULES = [problems, arrays]
 
 
 def queries() -> dict:

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ORIGIN = "timestamp_ntz'2024-01-01 00:00:00'"
-CHANNEL = Window.partitionBy("arr", "ch").orderBy("i")
+
+
+def by_channel():
+    """Samples of a channel in order."""
+    return Window.partitionBy("arr", "ch").orderBy("i")
 
 
 def grid(events: DataFrame, channels: int = 15, bin_s: int = 21_600, bins: int = 120) -> DataFrame:
@@ -57,7 +61,7 @@ def cropped(cells: DataFrame, ch_from: int | None = None, ch_to: int | None = No
 
 def derivative(cells: DataFrame, fs: float = 1.0) -> DataFrame:
     """(a[i+1] - a[i]) * fs; the last sample of a channel has none."""
-    return cells.withColumn("_n", F.lead("a").over(CHANNEL)).filter("_n is not null").select("arr", "ch", "i", ((F.col("_n") - F.col("a")) * fs).alias("a"))
+    return cells.withColumn("_n", F.lead("a").over(by_channel())).filter("_n is not null").select("arr", "ch", "i", ((F.col("_n") - F.col("a")) * fs).alias("a"))
 
 
 def common_mode_removed(cells: DataFrame) -> DataFrame:
