@@ -50,3 +50,14 @@ def current(ledger: DataFrame, *cols: str) -> DataFrame:
         .agg(F.max_by(F.struct(*rest), F.struct(F.coalesce("ts", F.lit(float("-inf"))), *rest)).alias("_r"))
         .select("event_file", "_r.*")
     )
+
+
+def absolute_ms(text: Column) -> Column:
+    """Epoch milliseconds of an absolute time in any of the catalogue's forms
+    (ISO with T or a blank, slashes, comma or point before the fraction, an
+    offset, or epoch seconds); UTC unless it says otherwise; else null."""
+    t = F.trim(text)
+    iso = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "/", "-"), ",", "."), r"^(\d{4}-\d{2}-\d{2})\s+", "$1T")
+    zoned = F.when(iso.rlike(r"T.*(Z|[+-]\d{2}:?\d{2})$"), iso).otherwise(F.concat(iso, F.lit("Z")))
+    stamp = F.try_to_timestamp(F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}T\d"), zoned))
+    return F.coalesce(F.when(t.rlike(r"^-?\d+(\.\d+)?$"), F.round(t.try_cast("double") * 1000).cast("bigint")), F.unix_millis(stamp))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenarray.queries import arrays, problems
+from lumenarray.queries import arrays, ledger, problems
 
-MODULES = [problems, arrays]
+MODULES = [problems, arrays, ledger]
 
 
 def queries() -> dict:
