@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenarray.llm.text import ASIDE
 
-SAMPLE = 6_000  # labelled documents that the model is fitted on, at most
+SAMPLE = 4_000  # labelled documents that the model is fitted on, at most
 TERMS = 40_000  # vocabulary, at most
 RANK = 64
 ROUNDS = 6
@@ -69,6 +69,18 @@ def sums(values: np.ndarray, of: np.ndarray, n: int, kind: type = np.float32) ->
     return out
 
 
+def weighted_sums(vectors: np.ndarray, ids: np.ndarray, of: np.ndarray, n: int, weight: np.ndarray | None = None, step: int = 50_000) -> np.ndarray:
+    """Sum of vectors[ids] (times weight) by group, a step of rows at a time."""
+    out = np.zeros((n, vectors.shape[1]), np.float32)
+    for a in range(0, len(ids), step):
+        part, group = vectors[ids[a : a + step]], of[a : a + step]
+        if weight is not None:
+            part = part * weight[a : a + step, None]
+        start = np.flatnonzero(np.diff(group, prepend=-1))
+        out[group[start]] += np.add.reduceat(part, start, axis=0)
+    return out
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
@@ -79,12 +91,12 @@ def truncated_svd(ids: np.ndarray, of: np.ndarray, n: int, weight: np.ndarray, r
     rank = min(rank, len(weight), n)
     q = np.random.default_rng(seed).normal(size=(len(weight), rank)).astype(np.float32)
     by_term = np.argsort(ids, kind="stable")
-    w = weight[ids][:, None]
+    w = weight[ids]
     for _ in range(5):
-        y = sums(q[ids] * w, of, n)
-        z = sums((y[of] * w)[by_term], ids[by_term], len(weight))
-        q, _ = np.linalg.qr(z)
-    return q.astype(np.float32)
+        y = weighted_sums(q, ids, of, n, w)
+        z = weighted_sums(y, of[by_term], ids[by_term], len(weight), w[by_term])
+        q = np.linalg.qr(z)[0].astype(np.float32)
+    return q
 
 
 def fit(texts: list[str], labels: list[set[str]], subjects: list[tuple[str, str]], frequency: dict[str, int], documents: int, rank: int = RANK) -> Model:
@@ -132,7 +144,7 @@ def fit(texts: list[str], labels: list[set[str]], subjects: list[tuple[str, str]
     if not len(ids):
         return model
     model.vectors = truncated_svd(ids, of, n, weight, rank) * weight[:, None]
-    x, strength = unit(sums(model.vectors[ids], of, n)), sums(weight[ids], of, n)
+    x, strength = unit(weighted_sums(model.vectors, ids, of, n)), sums(weight[ids], of, n)
     allowed = truth[text_of]
     spanish_terms = [terms[w] for w in SPANISH if w in terms]
     all_ids, all_of, _ = sentences([*texts, *(t for _, t in described)], terms | ENDS)
@@ -186,7 +198,7 @@ def count_sentences(model: Model, texts: list[str | None]) -> np.ndarray:
     ids, of = ids[telling], of[telling]
     strength = sums(model.weight[ids], of, n)
     on = np.flatnonzero((strength >= model.least_weight) & ~np.isin(signature, model.stock))
-    x = unit(sums(model.vectors[ids], of, n)[on])
+    x = unit(weighted_sums(model.vectors, ids, of, n)[on])
     cosine = x @ model.centroids.T
     best = cosine.argmax(1)
     sure = cosine[np.arange(len(on)), best] >= model.least_cosine
