@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The three ways a recording's start is written in its name.
-COMPACT = r"(\d{8})T(\d{6})Z\.h5$"
-DOTTED = r"(\d{4}-\d{2}-\d{2})_(\d{2})\.(\d{2})\.(\d{2})\.h5$"
-EPOCH = r"(?:^|[_-])(\d{8,11})\.h5$"
-PREFIX = r"^(.+?)[_-](?:\d{8}T\d{6}Z|\d{4}-\d{2}-\d{2}_\d{2}\.\d{2}\.\d{2}|\d{8,11})\.h5$"
+STARTS = r"\d{8}T\d{6}Z|\d{4}-\d{2}-\d{2}_\d{2}\.\d{2}\.\d{2}|\d{8,11}"
+PREFIX = rf"^(.+?)[_-](?:{STARTS})\.h5$"
+START = rf"(?:^|[_-])({STARTS})\.h5$"
 
 
 def file_prefix(name: Column) -> Column:
@@ -19,13 +18,9 @@ def file_prefix(name: Column) -> Column:
 
 def file_start_s(name: Column) -> Column:
     """UTC start of a recording in epoch seconds; null if the name has none."""
-    compact = F.concat(F.regexp_extract(name, COMPACT, 1), F.regexp_extract(name, COMPACT, 2), F.lit("Z"))
-    dotted = F.concat(*(F.regexp_extract(name, DOTTED, i) for i in (1, 2, 3, 4)), F.lit("Z"))
-    return F.coalesce(
-        F.unix_seconds(F.try_to_timestamp(compact, F.lit("yyyyMMddHHmmssX"))),
-        F.unix_seconds(F.try_to_timestamp(dotted, F.lit("yyyy-MM-ddHHmmssX"))),
-        F.regexp_extract(name, EPOCH, 1).try_cast("bigint"),
-    )
+    digits = F.regexp_replace(F.regexp_extract(name, START, 1), "[^0-9]", "")
+    written = F.unix_seconds(F.try_to_timestamp(F.concat(digits, F.lit("Z")), F.lit("yyyyMMddHHmmssX")))
+    return F.when(F.length(digits) == 14, written).otherwise(digits.try_cast("bigint"))
 
 
 def with_array(df: DataFrame, arrays: DataFrame, name: str = "event_file") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenarray.functions.files import file_start_s, with_array
+from lumenarray.session import cut
 
 # Outcome labels, and the order in which verdicts answer an origin.
 OUTCOMES = ["CORRECT_REJECTION", "FALSE_ALARM", "HIT", "HONEST_REGIONAL", "HONEST_UNKNOWN", "MISS_BELOW_FLOOR", "MISS_SUPPRESSED"]
@@ -27,6 +28,7 @@ def candidates(truth: DataFrame, resultados: DataFrame, arrays: DataFrame, bucke
     its margin touches, a verdict to one, so a hot array is spread over time.
     """
     t = with_array(truth.filter("origin_ms is not null"), arrays).withColumn("to_ms", F.col("origin_ms") + F.round(causal_margin(F.col("distance_km")) * 1000).cast("bigint"))
+    t = cut(t.select("event_file", "array", "origin_ms", "to_ms"))  # parsed once: the parsing alone fills a stage
     t = t.select("event_file", "array", "origin_ms", "to_ms", F.explode(F.sequence(F.floor(F.col("origin_ms") / (1000 * bucket_s)), F.floor(F.col("to_ms") / (1000 * bucket_s)))).alias("b"))
     v = with_array(resultados.filter("time_offset_s is not null and not isnan(time_offset_s)").select("file", "event_id", "classification", "coherent_channels", "time_offset_s"), arrays, "file")
     v = v.withColumn("at_ms", F.round((file_start_s(F.col("file")) + F.col("time_offset_s")) * 1000).cast("bigint")).withColumn("b", F.floor(F.col("at_ms") / (1000 * bucket_s)))
