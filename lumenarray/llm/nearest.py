@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarray.functions.files import current, file_start_s, with_array
+from lumenarray.functions.files import absolute_ms, current, file_start_s, with_array
 from lumenarray.session import scratch
 
 TOLERANCE_MS = 20_000
@@ -89,17 +89,6 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int = TOLER
     return out.filter("entity <> ''").groupBy("entity", "left_id", "left_time").agg(F.min("nearest").alias("n")).select("entity", "left_id", "n.right_id", "n.gap_ms")
 
 
-def absolute_ms(text: Column) -> Column:
-    """Epoch milliseconds of an absolute time in any of the catalogue's forms
-    (ISO with T or a blank, slashes, comma or point before the fraction, an
-    offset, or epoch seconds); UTC unless it says otherwise; else null."""
-    t = F.trim(text)
-    iso = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "/", "-"), ",", "."), r"^(\d{4}-\d{2}-\d{2})\s+", "$1T")
-    zoned = F.when(iso.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & iso.contains("T"), iso).otherwise(F.concat(iso, F.lit("Z")))
-    stamp = F.try_to_timestamp(F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}T\d"), zoned))
-    return F.coalesce(F.when(t.rlike(r"^-?\d+(\.\d+)?$"), F.round(t.try_cast("double") * 1000).cast("bigint")), F.unix_millis(stamp))
-
-
 def origins(ledger: DataFrame, arrays: DataFrame) -> DataFrame:
     """LEFT rows: the catalogued origins of current ledger rows."""
     from lumenarray.operators.nested import whole_json
