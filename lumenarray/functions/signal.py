@@ -1,0 +1,151 @@
+"""Fourier and filter kernels on traces, in Arrow batches.
+
+A kernel takes a batch of equally long traces as one matrix; Spark partitions
+the traces, one row a channel.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def butterworth(fs: float, low: float, high: float, order: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Second-order sections (b, a) of a band-pass, by prewarping and the
+    bilinear transform."""
+    if not 0 < low < high < fs / 2:
+        raise ValueError("the band must lie between 0 and half the sampling rate")
+    w = 2 * fs * np.tan(np.pi * np.array([low, high]) / fs)
+    width, centre = w[1] - w[0], np.sqrt(w[0] * w[1])
+    proto = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
+    half = proto * width / 2
+    poles = np.concatenate([half + np.sqrt(half**2 - centre**2), half - np.sqrt(half**2 - centre**2)])
+    z = (2 * fs + poles) / (2 * fs - poles)
+    z = z[np.imag(z) > 0]
+    mid = np.exp(2j * np.pi * np.sqrt(low * high) / fs)
+    out = []
+    for p in z[np.argsort(np.abs(z))]:
+        b, a = np.array([1.0, 0.0, -1.0]), np.array([1.0, -2 * p.real, abs(p) ** 2])
+        out.append((b, a))
+    # unit gain at the middle of the band, in the digital domain
+    centre_z = np.exp(2j * np.arctan(centre / (2 * fs)))
+    gain = np.prod([np.polyval(b, centre_z) / np.polyval(a, centre_z) for b, a in out]) if out else mid
+    scale = np.abs(gain) ** (-1 / max(1, len(out)))
+    return [(b * scale, a) for b, a in out]
+
+
+def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """One section over time for all traces, from the steady state of x[0]."""
+    dc = b.sum() / a.sum()
+    z1 = (dc - b[0]) * x[:, 0]
+    z2 = (b[2] - a[2] * dc) * x[:, 0]
+    y = np.empty_like(x)
+    for i in range(x.shape[1]):
+        y[:, i] = b[0] * x[:, i] + z1
+        z1 = b[1] * x[:, i] - a[1] * y[:, i] + z2
+        z2 = b[2] * x[:, i] - a[2] * y[:, i]
+    return y
+
+
+def bandpass(x: np.ndarray, fs: float, low: float = 1.0, high: float = 24.0) -> np.ndarray:
+    """Zero-phase band-pass: forward and backward over an odd reflection."""
+    sections = butterworth(fs, low, high)
+    pad = 3 * (2 * len(sections) + 1)
+    if x.shape[1] <= pad:
+        raise ValueError(f"traces must be longer than {pad} samples")
+    y = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1).astype(float)
+    for _ in range(2):
+        for b, a in sections:
+            y = _section(y, b, a)
+        y = y[:, ::-1]
+    return y[:, pad:-pad]
+
+
+def envelope(x: np.ndarray) -> np.ndarray:
+    """Modulus of the analytic signal."""
+    n = x.shape[1]
+    f = np.fft.fft(x, axis=1)
+    keep = np.zeros(n)
+    keep[0] = 1
+    keep[1 : (n + 1) // 2] = 2
+    if n % 2 == 0:
+        keep[n // 2] = 1
+    return np.abs(np.fft.ifft(f * keep, axis=1))
+
+
+def whitened(x: np.ndarray, fs: float, low: float, high: float) -> np.ndarray:
+    """Unit modulus within the band, a cosine taper outside, zero beyond."""
+    taper = max(0.5, 0.1 * (high - low))
+    f = np.fft.rfftfreq(x.shape[1], 1 / fs)
+    outside = np.maximum(np.maximum(low - f, f - high), 0) / taper
+    gain = np.where(outside < 1, 0.5 * (1 + np.cos(np.pi * np.minimum(outside, 1))), 0)
+    s = np.fft.rfft(x, axis=1)
+    return np.fft.irfft(s / (np.abs(s) + 1e-10) * gain, n=x.shape[1], axis=1)
+
+
+def ricker(f0: float, fs: float, duration: float = 0.8) -> np.ndarray:
+    t = (np.arange(int(duration * fs)) - int(duration * fs) // 2) / fs
+    u = (np.pi * f0 * t) ** 2
+    return (1 - 2 * u) * np.exp(-u)
+
+
+def plane_wave(data: np.ndarray, fs: float, dx: float, speed: float, t0: float, wavelet: np.ndarray, amplitude: float) -> np.ndarray:
+    """data with a wave that crosses the channels at `speed` (its sign is the
+    direction); wavelets that don't fit wholly are left out."""
+    out = data.astype(float).copy()
+    for ch in range(len(out)):
+        start = round((t0 + ch * dx / speed) * fs)
+        if 0 <= start <= out.shape[1] - len(wavelet):
+            out[ch, start : start + len(wavelet)] += amplitude * wavelet
+    return out
+
+
+def picks(beam: np.ndarray, fs: float, trigger: float = 3.5) -> tuple[float | None, float | None]:
+    """P and S arrivals (s) on a beam's envelope; a lone arrival counts as P.
+
+    S is where the smoothed power that leads to the greatest value after 4 s
+    leaves 5 % of it; P where the short- against long-term power before it is
+    greatest, walked back to 10 %.
+    """
+    if len(beam) < 6 * fs:
+        return None, None
+    power = np.maximum(beam - np.median(beam), 0) ** 2
+    floor = np.percentile(power, 75) + 1e-20
+    w = max(1, int(0.2 * fs))
+    smooth = np.convolve(power, np.ones(w) / w, mode="same")
+
+    def back(top: int, share: float, most: int) -> int:
+        low = max(0, top - most)
+        below = np.flatnonzero(smooth[low:top] < share * smooth[top])
+        return low + int(below[-1]) + 1 if len(below) else low
+
+    after = int(4 * fs)
+    top = after + int(np.argmax(smooth[after:])) if after < len(smooth) else int(np.argmax(smooth))
+    if smooth[top] < 8 * floor:
+        return None, None
+    s = back(top, 0.05, int(6 * fs))
+    c = np.append(0, np.cumsum(power))
+    short, long, gap = int(0.2 * fs), int(3 * fs), int(0.4 * fs)
+    i = np.arange(long + gap + short, max(long + gap + short, s - int(0.6 * fs)))
+    if len(i):
+        ratio = ((c[i] - c[i - short]) / short) / ((c[i - short - gap] - c[i - short - gap - long]) / long + 0.5 * floor)
+        k = int(np.argmax(ratio))
+        if ratio[k] > trigger:
+            return back(int(i[k]), 0.10, int(3 * fs)) / fs, s / fs
+    return s / fs, None
+
+
+def over_traces(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Traces (arr, ch, samples) with a kernel applied, batch by batch. Traces
+    of one length form one matrix; null or empty traces are left out."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[b["samples"].map(lambda s: s is not None and len(s) > 0)]
+            for _, g in b.groupby(b["samples"].map(len)):
+                y = kernel(np.array(g["samples"].tolist(), float))
+                yield pd.DataFrame({"arr": g["arr"], "ch": g["ch"], "samples": list(y)})
+
+    return traces.select("arr", "ch", "samples").mapInPandas(run, "arr bigint, ch int, samples array<double>")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenarray.queries import arrays, ledger, problems
+from lumenarray.queries import arrays, kernels, ledger, problems
 
-MODULES = [problems, arrays, ledger]
+MODULES = [problems, arrays, kernels, ledger]
 
 
 def queries() -> dict:
