@@ -26,6 +26,7 @@ DIM = 64
 SAME = 0.785  # least cosine of one source; the data leave 0.77 to 0.80 empty
 BLOCK_ROWS = 500  # rows a coarse component, on average
 CHUNK_ROWS = 4_000  # rows a fine mixture, at most
+LEAST_BLOCK = 8
 ROUTES = 3  # coarse components a row is tried in
 KEPT_VARIANCE = 0.95
 EM_ROUNDS = 4
@@ -205,13 +206,14 @@ def _routed(rows: DataFrame, mean: np.ndarray, matrix: np.ndarray, means: np.nda
     return rows.select("id", "vec").mapInPandas(run, "block int, id bigint, vec array<float>")
 
 
-def fine_links(routed: DataFrame, mean: np.ndarray, matrix: np.ndarray, chunk_rows: int) -> DataFrame:
+def fine_links(rows: DataFrame, n: int, mean: np.ndarray, matrix: np.ndarray, block_rows: int, routes: int, chunk_rows: int) -> DataFrame:
     """Links of members to representatives, by fine mixtures.
 
-    A component with more than chunk_rows rows is cut by a hash into chunks;
-    the chunks' representatives, far fewer, are taken up again in the same
-    way, until each component's fit one chunk. So a source that owns a large
-    share of all rows never meets in one task.
+    A coarse component with more than chunk_rows rows is cut by a hash into
+    chunks. The representatives of such components, of which a large source
+    has few, then go through a coarse mixture of their own with components
+    half as large, and so on, until each component fits one chunk. So a source
+    that owns a large share of all rows never meets in one task.
     """
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
@@ -219,22 +221,21 @@ def fine_links(routed: DataFrame, mean: np.ndarray, matrix: np.ndarray, chunk_ro
         pairs = link(group["id"].to_numpy(), u, (u - mean) @ matrix)
         return pd.DataFrame({"block": group["block"].iloc[0], "id": [a for a, _ in pairs], "rep": [b for _, b in pairs]})
 
-    todo, links, level = routed, None, 0
+    links, level = None, 0
     while True:
-        sizes = todo.groupBy("block").count()
-        largest = sizes.agg(F.max("count")).first()[0] or 0
-        chunks = sizes.select("block", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks"))
-        salted = todo.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(level)), F.col("chunks"))).drop("chunks")
+        means, weight, var = coarse_mixture(rows, n, mean, matrix, block_rows)
+        routed = cut(_routed(rows, mean, matrix, means, weight, var, routes))
+        sizes = routed.groupBy("block").count()
+        last = block_rows <= LEAST_BLOCK  # components of a few rows are small enough as they are
+        chunks = sizes.select("block", (F.lit(1) if last else F.ceil(F.col("count") / chunk_rows)).cast("int").alias("chunks"))
+        salted = routed.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(level)), F.col("chunks"))).drop("chunks")
         got = cut(salted.groupBy("block", "chunk").applyInPandas(run, LINKS))
         links = got if links is None else links.unionByName(got)
-        if largest <= chunk_rows:
-            return links
         split = chunks.filter("chunks > 1").select("block")
-        reps = got.filter("id = rep").join(split, "block").select("block", "id")
-        again = cut(todo.join(reps, ["block", "id"]))
-        if again.count() >= 0.9 * todo.join(split, "block").count():  # nothing more to join
+        rows = cut(rows.join(got.filter("id = rep").join(split, "block").select("id").distinct(), "id", "left_semi"))
+        n, level, block_rows = rows.count(), level + 1, max(LEAST_BLOCK, block_rows // 2)
+        if not n:
             return links
-        todo, level = again, level + 1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,9 +272,7 @@ def sources(clusters: DataFrame, block_rows: int = BLOCK_ROWS, routes: int = ROU
     if not n:
         return rows.select("id", F.col("id").alias("source"), "vec", "n_events", "zone", "array_id")
     matrix = reducer(mean, cov)
-    means, weight, var = coarse_mixture(rows, n, mean, matrix, block_rows)
-    routed = _routed(rows, mean, matrix, means, weight, var, routes)
-    labels = components(fine_links(cut(routed), mean, matrix, chunk_rows))
+    labels = components(fine_links(rows, n, mean, matrix, block_rows, routes, chunk_rows))
     return labels.join(rows, "id").select("id", "source", "vec", "n_events", "zone", "array_id")
 
 

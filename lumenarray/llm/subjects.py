@@ -24,7 +24,7 @@ from lumenarray.llm.text import ASIDE
 
 SAMPLE = 4_000  # labelled documents that the model is fitted on, at most
 TERMS = 40_000  # vocabulary, at most
-RANK = 64
+RANK = 48
 ROUNDS = 6
 LEAST_SENTENCES, LEAST_SHARE = 2, 0.25
 ABOUT = "doc_id bigint, subject string, sentences int, about_any int"
@@ -143,6 +143,7 @@ def fit(texts: list[str], labels: list[set[str]], subjects: list[tuple[str, str]
     ids, of = ids[weight[ids] > 0], of[weight[ids] > 0]
     if not len(ids):
         return model
+    rank = min(rank, max(len(names), int((weight > 0).sum()) // 4))  # fewer than the terms, that like ones share directions
     model.vectors = truncated_svd(ids, of, n, weight, rank) * weight[:, None]
     x, strength = unit(weighted_sums(model.vectors, ids, of, n)), sums(weight[ids], of, n)
     allowed = truth[text_of]
