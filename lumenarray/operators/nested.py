@@ -292,7 +292,8 @@ def whole_json(text: Column) -> Column:
 def flatten(df: DataFrame, root: str, text: str, tree: Tree, is_list: bool, with_value: bool = True) -> DataFrame:
     """Child objects of the JSON column `text`, each linked to its parent.
 
-    Output (CHILDREN): root, parent_path (null if the parent is the record),
+    Output (CHILDREN): root, parent_path (the name of the JSON column
+    if the parent is the record),
     path, list (the list's name), position, value (the object's own text).
     A lone object counts as a list of one, an object keyed by positions as a
     list, and a document or list written as text in a string as what it says.
