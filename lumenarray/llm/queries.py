@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenarray.llm import leakage, mixing, mixture, nearest, subjects
+from lumenarray.queries.ledger import VERDICT_TIMES
 from lumenarray.session import table
 
 
@@ -57,7 +58,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_sources, p9_found, p9_subjects, p9_shares, p6_found, p6_pairs, p7_found, p7_leaks, p8_mix, p8_shares)}
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_found": """with ok as (select id, vec, row_number() over (partition by id order by last_seen desc nulls last, n_events desc nulls last) as k from unknown_clusters where id is not null and len(vec) = 64 and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0),
+u as (select id, vec::double[] as v, sqrt(list_dot_product(vec::double[], vec::double[])) as n from ok where k = 1)
+select a.id as id_a, b.id as id_b from u a join u b on a.id < b.id and list_dot_product(a.v, b.v) >= 0.785 * a.n * b.n""",
+    "p6_found": f"""with {VERDICT_TIMES}
+select event_file, file, event_id from (select d.event_file, x.file, x.event_id, row_number() over (partition by d.event_file order by abs(x.at_ms - d.origin_ms), x.file, x.event_id) as k from dec d join vt x on d.arr = x.arr and x.at_ms between d.origin_ms - 20000 and d.origin_ms + 20000) where k = 1""",
+}
 
 
 def queries() -> dict:
