@@ -145,9 +145,11 @@ truth as (
 dec as (select *, case when regexp_full_match(o, '-?[0-9]+([.][0-9]+)?') then cast(round(cast(o as double) * 1000) as bigint)
     else epoch_ms(try_cast(replace(replace(o, '/', '-'), ',', '.') || case when regexp_matches(o, 'T.*(Z|[+-][0-9]{2}:?[0-9]{2})$') then '' else '+00' end as timestamptz)) end as origin_ms from truth)
 """
-CAUSAL = DECODED + """,
+VERDICT_TIMES = DECODED + """,
 vs as (select r.file, r.event_id, r.classification, coalesce(r.coherent_channels, 0) as channels, a.array_id as arr, r.time_offset_s, regexp_extract(r.file, '[_-]([^_-]*(?:-[0-9]{2}-[0-9]{2}_[0-9.]+)?)[.]h5$', 1) as mark from resultados r join arrays a on starts_with(r.file, a.file_prefix || '_') or starts_with(r.file, a.file_prefix || '-') where time_offset_s is not null and not isnan(time_offset_s)),
-vt as (select *, cast(round((case when mark like '%T%Z' then epoch(strptime(mark, '%Y%m%dT%H%M%SZ')) when mark like '%-%' then epoch(strptime(mark, '%Y-%m-%d_%H.%M.%S')) else cast(mark as double) end + time_offset_s) * 1000) as bigint) as at_ms from vs),
+vt as (select *, cast(round((case when mark like '%T%Z' then epoch(strptime(mark, '%Y%m%dT%H%M%SZ')) when mark like '%-%' then epoch(strptime(mark, '%Y-%m-%d_%H.%M.%S')) else cast(mark as double) end + time_offset_s) * 1000) as bigint) as at_ms from vs)
+"""
+CAUSAL = VERDICT_TIMES + """,
 cand as (select distinct d.event_file, d.origin_ms, x.file, x.event_id, x.classification, x.channels, x.at_ms from dec d join vt x on d.arr = x.arr and x.at_ms between d.origin_ms and d.origin_ms + cast(round(coalesce(d.distance_km * 1000 / 2000 + 5, 60) * 1000) as bigint)),
 best as (select * from (select *, row_number() over (partition by event_file order by case classification when 'SISMO_CONFIRMADO' then 1 when 'POSIBLE_REGIONAL_EMERGENTE' then 2 when 'FUENTE_MOVIL_TRAFICO' then 3 when 'COHERENTE_DESCONOCIDO' then 4 when 'INCOHERENTE_LOCAL_SUPRIMIDO' then 5 else 9 end, channels desc, at_ms, file, event_id) as k, count(*) over (partition by event_file) as n from cand) where k = 1)
 """

@@ -86,3 +86,27 @@ select event_file, field from judged where not ok
 union select j.event_file, j.field from judged j join spread s using (arr, field) where ok and abs(ln(y) - m) > 6.75 * s
 union select b.event_file, b.field from run a join run b on a.arr = b.arr and a.field = b.field and b.k between a.k and a.k + 3 where a.still
 """
+
+
+def _elements(source: str) -> str:
+    """SQL: (root, path, el) of the objects in each (root, path, v) of a list."""
+    return f"""(select root, path || '[' || e.pos || ']' as path, case when json_type(e.el) = 'VARCHAR' and json_valid(e.el->>'$') then (e.el->>'$')::json else e.el end as el
+  from (select root, path, unnest(case
+    when json_type(u) = 'ARRAY' then list_transform(range(json_array_length(u)::bigint), lambda i: {{'pos': i, 'el': json_extract(u, '$[' || i || ']')}})
+    when json_type(u) = 'OBJECT' and len(json_keys(u)) > 0 and len(list_filter(json_keys(u), lambda k: not regexp_full_match(k, '[0-9]+'))) = 0 then list_transform(json_keys(u), lambda k: {{'pos': k::bigint, 'el': json_extract(u, '$."' || k || '"')}})
+    when json_type(u) = 'OBJECT' then [{{'pos': 0::bigint, 'el': u}}] else [] end) as e
+    from (select root, path, case when json_type(v) = 'VARCHAR' and json_valid(v->>'$') then (v->>'$')::json else v end as u from {source} where v is not null)))"""
+
+
+SQL["p3_found"] = "with " + NOW + f""",
+j1 as (select event_file, case when json_valid(trim(gt_json)) then trim(gt_json)::json end as g, case when json_valid(trim(metrics_json)) then trim(metrics_json)::json end as m from now),
+j2 as (select event_file, case when json_type(g) = 'VARCHAR' and json_valid(g->>'$') then (g->>'$')::json else g end as g, case when json_type(m) = 'VARCHAR' and json_valid(m->>'$') then (m->>'$')::json else m end as m from j1),
+cands as {_elements("(select event_file as root, 'metrics_json.candidates' as path, m->'candidates' as v from j2 where json_type(m) = 'OBJECT')")},
+found as (
+  select root, path, el from cands
+  union all select * from {_elements("(select root, path || '.curve' as path, el->'curve' as v from cands where json_type(el) = 'OBJECT')")}
+  union all select * from {_elements("(select root, path || '.picks' as path, el->'picks' as v from cands where json_type(el) = 'OBJECT')")}
+  union all select * from {_elements("(select event_file as root, 'gt_json.magnitudes' as path, g->'magnitudes' as v from j2 where json_type(g) = 'OBJECT')")}
+  union all select * from {_elements("(select file || '/' || event_id as root, 'phases' as path, phases::json as v from resultados where json_valid(phases) and trim(phases) <> '')")})
+select distinct root, path from found where json_type(el) = 'OBJECT'
+"""
