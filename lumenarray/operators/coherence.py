@@ -196,3 +196,14 @@ def measured(events: DataFrame, cells: DataFrame, ratio: DataFrame, fired: DataF
     out = out.join(peak.drop("k", "p"), EVENT, "left").join(coherent_channels(wide, cells, peak, cfg), EVENT, "left")
     out = out.join(track_speed(wide, ratio, cfg), EVENT, "left").join(onset_velocity(wide, fired, cfg).select(*EVENT, "v_onset"), EVENT, "left")
     return out.withColumn("duration", F.col("i_to") - F.col("i_from") + 1)
+
+
+def observed_snr(events: DataFrame, cells: DataFrame, guard: int = 2, least: int = 2) -> DataFrame:
+    """arr, event_id, snr: RMS of the event over the RMS before it, less `guard`
+    samples; each the median over the event's channels. No row where fewer
+    than `least` samples or only silence lie before it."""
+    e = events.select(*EVENT, "i_from", "i_to", "ch_min", "ch_max").filter(F.col("i_from") - guard >= least)
+    c = cells.join(e, "arr").filter("ch between ch_min and ch_max")
+    square = F.col("a") * F.col("a")
+    per = c.groupBy(*EVENT, "ch").agg(F.sqrt(F.avg(F.when(F.col("i").between(F.col("i_from"), F.col("i_to")), square))).alias("s"), F.sqrt(F.avg(F.when(F.col("i") < F.col("i_from") - guard, square))).alias("n"))
+    return per.groupBy(*EVENT).agg(F.median("s").alias("s"), F.median("n").alias("n")).filter("n > 0").select(*EVENT, (F.col("s") / F.col("n")).alias("snr"))

@@ -135,3 +135,22 @@ def falling(steps: DataFrame) -> DataFrame:
     order = Window.partitionBy("array_id", "updated").orderBy("snr")
     d = steps.withColumn("low", low).withColumn("high", high)
     return d.withColumn("next_high", F.lead("high").over(order)).filter("next_high < low").select("array_id", "updated", "snr")
+
+
+def calibration_choice(flips: DataFrame, candidates: tuple[float, ...]) -> DataFrame:
+    """The first candidate, in the given order, that flips rows but none from
+    confirmed; no row if there is none."""
+    place = F.array_position(F.array(*map(F.lit, candidates)), F.col("candidate"))
+    per = flips.groupBy("candidate").agg(F.sum("n").alias("flips"), F.sum(F.when(F.col("from_verdict") == PRIORITY[0], F.col("n")).otherwise(0)).alias("lost")).filter("lost = 0").withColumn("_p", place)
+    return per.agg(F.min(F.struct("_p", "candidate", "flips")).alias("b")).filter("b is not null").select("b.candidate", "b.flips")
+
+
+def overlay(ledger: DataFrame, arrays: DataFrame) -> DataFrame:
+    """array, snr, recall: each observed ratio, 100 where a causal candidate was
+    seen and 0 where not, to lay over a recall curve."""
+    from lumenarray.functions.files import current
+    from lumenarray.operators.nested import whole_json
+
+    now = with_array(current(ledger, "snr_observed", "metrics_json").filter("snr_observed is not null"), arrays)
+    n = F.get_json_object(whole_json(F.col("metrics_json")), "$.n_candidates_causal_window").try_cast("bigint")
+    return now.select("event_file", "array", F.col("snr_observed").alias("snr"), F.when(F.coalesce(n, F.lit(0)) > 0, 100).otherwise(0).alias("recall"))

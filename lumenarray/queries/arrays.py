@@ -142,6 +142,22 @@ def verdicts(spark, d):
     return _rounded(v, "v", "semblance", "f_c", "span", "speed", "v_onset", digits=4).drop("explanations")
 
 
+def observed_snr(spark, d):
+    c, _, _, ev = _parts(spark, d)
+    return _rounded(coherence.observed_snr(ev, c), "snr")
+
+
+def event_windows(spark, d):
+    c, _, _, ev = _parts(spark, d)
+    w = coherence.event_window(ev, c, 6)
+    return w.groupBy("arr", "event_id").agg(F.count("*").alias("n"), F.sum("a").alias("total"), F.max("x").alias("last_x"))
+
+
+def concatenated(spark, d):
+    two = cells(spark, d).select(F.expr("arr div 2").alias("arr"), "ch", "i", "a", F.concat(F.lit("f"), F.col("arr") % 2).alias("file"))
+    return waveforms.concatenated(two)
+
+
 def one_bit_xcorr(spark, d):
     return _rounded(interferometry.gather(cells(spark, d), ref=7, lags=6, window=40, hop=20), "ncf")
 
@@ -156,7 +172,7 @@ def sliding_windows(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     signal_grid, oriented, cropped, derivative, common_mode, dead_channels, trailing_mean, one_bit, channel_noise, smoothed, sta_lta, trigger_raster, merge_runs, density_resegment, extract_events, reduction_stats,
-    coincidence, span_fraction, track_speed, onset_theil_sen, semblance_curve, velocity_peak, coherent_channels, verdicts, one_bit_xcorr, fold_and_fit, sliding_windows,
+    coincidence, span_fraction, track_speed, onset_theil_sen, semblance_curve, velocity_peak, coherent_channels, verdicts, observed_snr, event_windows, concatenated, one_bit_xcorr, fold_and_fit, sliding_windows,
 )}
 
 GRID = """
@@ -248,6 +264,10 @@ j as (select *, case when n_ch <= 3 then 'INCOHERENTE_LOCAL_SUPRIMIDO'
   when coalesce(n_coherent, 0) <= 3 and coalesce(semblance, 0) < 0.12 and f_c < 0.5 and span < 0.5 then 'INCOHERENTE_LOCAL_SUPRIMIDO' else 'COHERENTE_DESCONOCIDO' end as classification from m)
 select arr, event_id, classification, case when classification <> 'INCOHERENTE_LOCAL_SUPRIMIDO' then round(v, 4) end as v, round(semblance, 4) as semblance, round(f_c, 4) as f_c, round(span, 4) as span, n_coherent,
   case when classification not in ('INCOHERENTE_LOCAL_SUPRIMIDO', 'SISMO_CONFIRMADO') then round(speed, 4) end as speed, round(v_onset, 4) as v_onset, classification = 'INCOHERENTE_LOCAL_SUPRIMIDO' as suppressed from j""",
+    "observed_snr": f"with {EVENTS}" + """, per as (select e.arr, e.event_id, c.ch, sqrt(avg(case when c.i between e.i_from and e.i_to then c.a * c.a end)) as s, sqrt(avg(case when c.i < e.i_from - 2 then c.a * c.a end)) as n from evts e join cells c on c.arr = e.arr and c.ch between e.ch_min and e.ch_max where e.i_from >= 4 group by all)
+select arr, event_id, round(median(s) / median(n), 6) as snr from per group by all having median(n) > 0""",
+    "event_windows": f"with {CURVE} select arr, event_id, count(*) as n, cast(sum(a) as bigint) as total, max(x) as last_x from win group by all",
+    "concatenated": f"with {GRID}, two as (select arr // 2 as arr, ch, i, a, arr % 2 as f from cells), len as (select arr, f, max(i) + 1 as n from two group by all), off as (select arr, f, coalesce(sum(n) over (partition by arr order by f rows between unbounded preceding and 1 preceding), 0) as o from len) select arr, ch, cast(i + o as bigint) as i, a from two join off using (arr, f)",
     "sliding_windows": f"with {GRID} select arr, cast(w.w as int) as win, count(*) as n, min(i) as i_from, max(i) as i_to from cells join range(0, 81, 20) s(i0) on i between i0 and i0 + 39, lateral (select i0 // 20 as w) w group by all",
 }
 _GATHER = """,

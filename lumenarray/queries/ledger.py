@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenarray.functions.files import current, with_array
+from lumenarray.functions.files import current, file_start_s, with_array
 from lumenarray.operators import catalog, scoring
 from lumenarray.queries.problems import NOW
 from lumenarray.session import table
+from lumenarray.sources import waveforms
 
 BOUNDS = (0.05, 0.08, 0.12, 0.2, 0.35)
 
@@ -107,6 +108,21 @@ def calibration_flips(spark, d):
     return scoring.calibration_flips(catalog.decoded(table(spark, d, "ledger")), BOUNDS)
 
 
+def calibration_choice(spark, d):
+    return scoring.calibration_choice(calibration_flips(spark, d), BOUNDS)
+
+
+def recall_overlay(spark, d):
+    return scoring.overlay(table(spark, d, "ledger"), table(spark, d, "arrays"))
+
+
+def quiet_stretches(spark, d):
+    """Of each recording with verdicts, the stretches away from its origin."""
+    long = table(spark, d, "resultados").filter("file is not null and time_offset_s is not null and not isnan(time_offset_s)").groupBy("file").agg(F.max("time_offset_s").alias("length_s"))
+    at = catalog.decoded(table(spark, d, "ledger")).select(F.col("event_file").alias("file"), (F.col("origin_ms") / 1000 - file_start_s(F.col("event_file"))).alias("origin_s"))
+    return _r(waveforms.quiet_stretches(long.join(at, "file", "left")), "from_s", "to_s", digits=3)
+
+
 def calibration_score(spark, d):
     return scoring.calibration_scores(catalog.decoded(table(spark, d, "ledger")), BOUNDS)
 
@@ -132,7 +148,7 @@ def recall_falls(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     ledger_latest, ledger_decoded, ledger_invalidated, profile_merge, profile_config, profile_archive, resolvable_speed, nearest_prototype, promote, unpromoted, causal_match, best_candidate, outcome_per_file,
-    outcome_matrix, array_outcomes, stale_hits, delay_anomalies, detectability, calibration_flips, calibration_score, recall_gauge, recall_curves, snr50, recall_falls,
+    outcome_matrix, array_outcomes, stale_hits, delay_anomalies, detectability, calibration_flips, calibration_choice, recall_overlay, quiet_stretches, calibration_score, recall_gauge, recall_curves, snr50, recall_falls,
 )}
 
 DECODED = NOW + """,
@@ -187,6 +203,9 @@ step as (select a.arr, a.ms, min(b.ms) as nxt from ms a left join ms b on a.arr
 anchor as (select arr, min(ms) as ms from ms group by arr union all select s.arr, s.nxt from anchor a join step s on a.arr = s.arr and a.ms = s.ms where s.nxt is not null)
 select a.arr as array, a.ms as anchor_ms, cast(sum(m.c) as bigint) as n from anchor a join ms m on a.arr = m.arr and m.ms between a.ms and a.ms + 100 group by all having sum(m.c) >= 3""",
     "calibration_flips": f"with {DECODED} select c::double as candidate, verdict as from_verdict, now as to_verdict, count(*) as n from (select c, verdict, {_RECL.format(c='c')} as now from dec cross join {_CANDS}) where now is not null and verdict is not null and now <> verdict group by all",
+    "calibration_choice": f"with {DECODED}, f as (select c::double as candidate, verdict, {_RECL.format(c='c')} as now from dec cross join {_CANDS}), g as (select candidate, count(*) as flips, count_if(verdict = 'SISMO_CONFIRMADO') as lost from f where now is not null and verdict is not null and now <> verdict group by all) select candidate, flips from g where lost = 0 order by candidate limit 1",
+    "recall_overlay": f"with {DECODED} select d.event_file, d.arr as array, n.snr_observed as snr, case when coalesce(d.n_candidates, 0) > 0 then 100 else 0 end as recall from dec d join now n using (event_file) where n.snr_observed is not null",
+    "quiet_stretches": f"with {DECODED}, len as (select file, max(time_offset_s) as l from resultados where file is not null and not isnan(time_offset_s) group by file), s as (select len.file, l, d.origin_ms / 1000.0 - t.t as o from len left join dec d on d.event_file = len.file left join timed t on t.event_file = len.file), p as (select file, 0.0 as a, case when o is null then l else least(o - 5, l) end as b from s union all select file, greatest(o + 5, 0.0), l from s where o is not null) select file, round(a, 3) as from_s, round(b, 3) as to_s from p where b - a >= 10",
     "calibration_score": f"with {DECODED}, x as (select c::double as candidate, {_RECL.format(c='0.12')} as was, {_RECL.format(c='c')} as now from dec cross join {_CANDS} where magnitude is not null), y as (select candidate, count_if(was <> 'SISMO_CONFIRMADO' and now = 'SISMO_CONFIRMADO') as improves, count_if(was = 'SISMO_CONFIRMADO' and now <> 'SISMO_CONFIRMADO') as worsens, count_if(was = 'POSIBLE_REGIONAL_EMERGENTE' and now = 'COHERENTE_DESCONOCIDO') as downgrades from x where was is not null group by all) select *, cast(improves - 2 * worsens - 0.5 * downgrades as double) as net from y",
     "recall_gauge": f"with {NOW} select arr as array, round(avg(case when outcome = 'HIT' then 1 else 0 end), 6) as recall, count(*) as n from timed where outcome in ('HIT', 'HONEST_UNKNOWN', 'HONEST_REGIONAL', 'MISS_SUPPRESSED', 'MISS_BELOW_FLOOR') group by arr",
     "recall_curves": f"with {_STEPS} select *, round({_WILSON.format(k='hits', n='n')}, 6) as low, round({_HIGH.format(k='hits', n='n')}, 6) as high from steps",
