@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarray.operators import coherence, interferometry, triage
+from lumenarray.operators import coherence, injection, interferometry, triage
 from lumenarray.sources import waveforms
 from lumenarray.session import cut, table
 
@@ -147,6 +147,14 @@ def observed_snr(spark, d):
     return _rounded(coherence.observed_snr(ev, c), "snr")
 
 
+def injected_waves(spark, d):
+    return injection.injected(cells(spark, d)).select("arr", "ch", "i", "a")
+
+
+def injected_recall(spark, d):
+    return _rounded(injection.recall_curve(cells(spark, d)), "recall", "low", "high")
+
+
 def event_windows(spark, d):
     c, _, _, ev = _parts(spark, d)
     w = coherence.event_window(ev, c, 6)
@@ -172,13 +180,20 @@ def sliding_windows(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     signal_grid, oriented, cropped, derivative, common_mode, dead_channels, trailing_mean, one_bit, channel_noise, smoothed, sta_lta, trigger_raster, merge_runs, density_resegment, extract_events, reduction_stats,
-    coincidence, span_fraction, track_speed, onset_theil_sen, semblance_curve, velocity_peak, coherent_channels, verdicts, observed_snr, event_windows, concatenated, one_bit_xcorr, fold_and_fit, sliding_windows,
+    coincidence, span_fraction, track_speed, onset_theil_sen, semblance_curve, velocity_peak, coherent_channels, verdicts, observed_snr, injected_waves, injected_recall, event_windows, concatenated, one_bit_xcorr, fold_and_fit, sliding_windows,
 )}
 
 GRID = """
 sums as (select user_id, cast(floor(epoch(ts) / 21600.0 - epoch(timestamp '2024-01-01') / 21600.0) as int) as i, cast(sum(cast(round(value * 100) as bigint)) as bigint) as v from events where user_id is not null and ts is not null group by all),
 cells as (select u.user_id // 15 as arr, cast(u.user_id % 15 as int) as ch, cast(r.i as int) as i, coalesce(s.v, 0) as a from (select distinct user_id from events where user_id is not null and ts is not null) u cross join range(120) r(i) left join sums s on s.user_id = u.user_id and s.i = r.i)
 """
+_SNR = "levels(k, snr) as (values (0, 1.0), (1, 2.0), (2, 3.0), (3, 5.0), (4, 8.0), (5, 12.0), (6, 20.0)), wav(j, w) as (values (0, 1), (1, 2), (2, -3), (3, 5), (4, -3), (5, 2), (6, 1))"
+INJECTED = GRID.replace("cells as (", "base as (") + f""",
+{_SNR},
+noise as (select arr, median(rms) as noise from (select arr, ch, sqrt(avg(a * a)) as rms from base group by all) group by arr),
+trials as (select arr, k, snr::double as snr, 40 + (arr * 13 + k * 5) % 60 as t0, noise from noise cross join levels),
+cells as (select t.arr * 7 + t.k as arr, b.ch, b.i, b.a + coalesce(cast(round(t.snr * t.noise / sqrt(53 / 7.0::double) * w.w) as bigint), 0) as a from base b join trials t on t.arr = b.arr left join wav w on w.j = b.i - t.t0 - b.ch)
+"""
 RATIO = GRID + """,
 run as (select *, cast(sum(a * a) over (partition by arr, ch order by i) as double) as c from cells),
 backs as (select *, coalesce(lag(c, 3) over w, 0) as c3, coalesce(lag(c, 5) over w, 0) as c5, coalesce(lag(c, 29) over w, 0) as c29 from run window w as (partition by arr, ch order by i)),
@@ -229,6 +244,9 @@ allfirst as (select e.arr, e.event_id, f.ch, min(f.i) as first from evts e join
 coin as (select arr, event_id, max(m) / cast(greatest(count(*), 10, floor(max(n_all) * 0.05)) as double) as f_c from (select *, count(*) over (partition by arr, event_id order by first range between 4 preceding and current row) as m from allfirst) join nall using (arr) group by all)
 """
 
+WILSON_LOW = "case when {n} = 0 then 0 else greatest(0, ({k}/{n} + 3.841458820694124/(2*{n}) - 1.959963984540054*sqrt({k}/{n}*(1-{k}/{n})/{n} + 3.841458820694124/(4*{n}*{n}))) / (1 + 3.841458820694124/{n})) end"
+WILSON_HIGH = "case when {n} = 0 then 1 else least(1, ({k}/{n} + 3.841458820694124/(2*{n}) + 1.959963984540054*sqrt({k}/{n}*(1-{k}/{n})/{n} + 3.841458820694124/(4*{n}*{n}))) / (1 + 3.841458820694124/{n})) end"
+
 SQL = {
     "signal_grid": f"with {GRID} select * from cells",
     "oriented": f"with {GRID} select arr, i as ch, ch as i, a from cells",
@@ -266,6 +284,8 @@ select arr, event_id, classification, case when classification <> 'INCOHERENTE_L
   case when classification not in ('INCOHERENTE_LOCAL_SUPRIMIDO', 'SISMO_CONFIRMADO') then round(speed, 4) end as speed, round(v_onset, 4) as v_onset, classification = 'INCOHERENTE_LOCAL_SUPRIMIDO' as suppressed from j""",
     "observed_snr": f"with {EVENTS}" + """, per as (select e.arr, e.event_id, c.ch, sqrt(avg(case when c.i between e.i_from and e.i_to then c.a * c.a end)) as s, sqrt(avg(case when c.i < e.i_from - 2 then c.a * c.a end)) as n from evts e join cells c on c.arr = e.arr and c.ch between e.ch_min and e.ch_max where e.i_from >= 4 group by all)
 select arr, event_id, round(median(s) / median(n), 6) as snr from per group by all having median(n) > 0""",
+    "injected_waves": f"with {INJECTED} select * from cells",
+    "injected_recall": "with " + EVENTS.replace(GRID, INJECTED) + ", res as (select t.k, t.snr, count(*) as n, count_if(exists (select 1 from evts e where e.arr = t.arr * 7 + t.k and t.t0 between e.i_from - 3 and e.i_to + 3)) as hits from trials t group by all) select snr, n, hits, round(hits / n, 6) as recall, round(" + WILSON_LOW.format(k="hits", n="n") + ", 6) as low, round(" + WILSON_HIGH.format(k="hits", n="n") + ", 6) as high from res",
     "event_windows": f"with {CURVE} select arr, event_id, count(*) as n, cast(sum(a) as bigint) as total, max(x) as last_x from win group by all",
     "concatenated": f"with {GRID}, two as (select arr // 2 as arr, ch, i, a, arr % 2 as f from cells), len as (select arr, f, max(i) + 1 as n from two group by all), off as (select arr, f, coalesce(sum(n) over (partition by arr order by f rows between unbounded preceding and 1 preceding), 0) as o from len) select arr, ch, cast(i + o as bigint) as i, a from two join off using (arr, f)",
     "sliding_windows": f"with {GRID} select arr, cast(w.w as int) as win, count(*) as n, min(i) as i_from, max(i) as i_to from cells join range(0, 81, 20) s(i0) on i between i0 and i0 + 39, lateral (select i0 // 20 as w) w group by all",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenarray.functions.files import current, file_start_s, with_array
 from lumenarray.operators import catalog, scoring
+from lumenarray.queries.arrays import WILSON_HIGH, WILSON_LOW
 from lumenarray.queries.problems import NOW
 from lumenarray.session import table
 from lumenarray.sources import waveforms
@@ -169,8 +170,6 @@ CAUSAL = VERDICT_TIMES + """,
 cand as (select distinct d.event_file, d.origin_ms, x.file, x.event_id, x.classification, x.channels, x.at_ms from dec d join vt x on d.arr = x.arr and x.at_ms between d.origin_ms and d.origin_ms + cast(round(coalesce(d.distance_km * 1000 / 2000 + 5, 60) * 1000) as bigint)),
 best as (select * from (select *, row_number() over (partition by event_file order by case classification when 'SISMO_CONFIRMADO' then 1 when 'POSIBLE_REGIONAL_EMERGENTE' then 2 when 'FUENTE_MOVIL_TRAFICO' then 3 when 'COHERENTE_DESCONOCIDO' then 4 when 'INCOHERENTE_LOCAL_SUPRIMIDO' then 5 else 9 end, channels desc, at_ms, file, event_id) as k, count(*) over (partition by event_file) as n from cand) where k = 1)
 """
-_WILSON = "case when {n} = 0 then 0 else greatest(0, ({k}/{n} + 3.841458820694124/(2*{n}) - 1.959963984540054*sqrt({k}/{n}*(1-{k}/{n})/{n} + 3.841458820694124/(4*{n}*{n}))) / (1 + 3.841458820694124/{n})) end"
-_HIGH = "case when {n} = 0 then 1 else least(1, ({k}/{n} + 3.841458820694124/(2*{n}) + 1.959963984540054*sqrt({k}/{n}*(1-{k}/{n})/{n} + 3.841458820694124/(4*{n}*{n}))) / (1 + 3.841458820694124/{n})) end"
 _RECL = "case when f is null or s is null or semblance is null or v is null then null when f >= 0.3 and s >= 0.3 and semblance >= {c} and abs(v) between 1500 and 8000 then 'SISMO_CONFIRMADO' when f >= 0.5 and s >= 0.5 then 'POSIBLE_REGIONAL_EMERGENTE' else 'COHERENTE_DESCONOCIDO' end"
 _CANDS = "(values (0.05), (0.08), (0.12), (0.2), (0.35)) t(c)"
 _STEPS = "steps as (select array_id, updated, (x->>'snr')::double as snr, (x->>'n')::bigint as n, (x->>'hits')::bigint as hits, (x->>'recall')::double as recall from (select distinct array_id, updated, recall_curve_json from array_profiles where recall_curve_json is not null and array_id is not null), lateral (select unnest(cast(recall_curve_json as json[])) as x) u)"
@@ -193,7 +192,7 @@ SQL = {
     "causal_match": f"with {CAUSAL} select event_file, file, event_id, classification, channels, at_ms from cand",
     "best_candidate": f"with {CAUSAL} select event_file, file, event_id, classification, n, round((at_ms - origin_ms) / 1000.0, 6) as delay_s from best",
     "outcome_per_file": f"with {CAUSAL} select d.event_file, case when magnitude is null and d.origin_ms is null then case when verdict = 'SISMO_CONFIRMADO' then 'FALSE_ALARM' else 'CORRECT_REJECTION' end when d.origin_ms is not null and b.classification is null then 'MISS_BELOW_FLOOR' else coalesce(case b.classification when 'SISMO_CONFIRMADO' then 'HIT' when 'POSIBLE_REGIONAL_EMERGENTE' then 'HONEST_REGIONAL' when 'COHERENTE_DESCONOCIDO' then 'HONEST_UNKNOWN' when 'FUENTE_MOVIL_TRAFICO' then 'HONEST_UNKNOWN' end, 'MISS_SUPPRESSED') end as outcome from dec d left join best b using (event_file)",
-    "outcome_matrix": f"with {DECODED}, t as (select magnitude is not null as real, count(*) as total from dec group by all), o as (select unnest(['CORRECT_REJECTION', 'FALSE_ALARM', 'HIT', 'HONEST_REGIONAL', 'HONEST_UNKNOWN', 'MISS_BELOW_FLOOR', 'MISS_SUPPRESSED']) as outcome), c as (select magnitude is not null as real, outcome, count(*) as n from dec group by all), x as (select t.real, o.outcome, coalesce(c.n, 0) as n, total from t cross join o left join c on c.real = t.real and c.outcome = o.outcome) select real, outcome, n, total, round(n / total, 6) as rate, round({_WILSON.format(k='n', n='total')}, 6) as low, round({_HIGH.format(k='n', n='total')}, 6) as high from x",
+    "outcome_matrix": f"with {DECODED}, t as (select magnitude is not null as real, count(*) as total from dec group by all), o as (select unnest(['CORRECT_REJECTION', 'FALSE_ALARM', 'HIT', 'HONEST_REGIONAL', 'HONEST_UNKNOWN', 'MISS_BELOW_FLOOR', 'MISS_SUPPRESSED']) as outcome), c as (select magnitude is not null as real, outcome, count(*) as n from dec group by all), x as (select t.real, o.outcome, coalesce(c.n, 0) as n, total from t cross join o left join c on c.real = t.real and c.outcome = o.outcome) select real, outcome, n, total, round(n / total, 6) as rate, round({WILSON_LOW.format(k='n', n='total')}, 6) as low, round({WILSON_HIGH.format(k='n', n='total')}, 6) as high from x",
     "array_outcomes": f"with {NOW} select arr as array, outcome, count(*) as n from timed group by rollup (arr, outcome)",
     "stale_hits": f"with {DECODED} select event_file from dec where outcome = 'HIT' and pinned is null",
     "detectability": f"with {DECODED}, {_MERGED} select event_file, magnitude, distance_km, coalesce(m.aperture_m, a.aperture_m) as aperture_m, outcome from dec d left join merged m on m.array_id = d.arr left join arrays a on a.array_id = d.arr where magnitude is not null",
@@ -208,7 +207,7 @@ select a.arr as array, a.ms as anchor_ms, cast(sum(m.c) as bigint) as n from anc
     "quiet_stretches": f"with {DECODED}, len as (select file, max(time_offset_s) as l from resultados where file is not null and not isnan(time_offset_s) group by file), s as (select len.file, l, d.origin_ms / 1000.0 - t.t as o from len left join dec d on d.event_file = len.file left join timed t on t.event_file = len.file), p as (select file, 0.0 as a, case when o is null then l else least(o - 5, l) end as b from s union all select file, greatest(o + 5, 0.0), l from s where o is not null) select file, round(a, 3) as from_s, round(b, 3) as to_s from p where b - a >= 10",
     "calibration_score": f"with {DECODED}, x as (select c::double as candidate, {_RECL.format(c='0.12')} as was, {_RECL.format(c='c')} as now from dec cross join {_CANDS} where magnitude is not null), y as (select candidate, count_if(was <> 'SISMO_CONFIRMADO' and now = 'SISMO_CONFIRMADO') as improves, count_if(was = 'SISMO_CONFIRMADO' and now <> 'SISMO_CONFIRMADO') as worsens, count_if(was = 'POSIBLE_REGIONAL_EMERGENTE' and now = 'COHERENTE_DESCONOCIDO') as downgrades from x where was is not null group by all) select *, cast(improves - 2 * worsens - 0.5 * downgrades as double) as net from y",
     "recall_gauge": f"with {NOW} select arr as array, round(avg(case when outcome = 'HIT' then 1 else 0 end), 6) as recall, count(*) as n from timed where outcome in ('HIT', 'HONEST_UNKNOWN', 'HONEST_REGIONAL', 'MISS_SUPPRESSED', 'MISS_BELOW_FLOOR') group by arr",
-    "recall_curves": f"with {_STEPS} select *, round({_WILSON.format(k='hits', n='n')}, 6) as low, round({_HIGH.format(k='hits', n='n')}, 6) as high from steps",
+    "recall_curves": f"with {_STEPS} select *, round({WILSON_LOW.format(k='hits', n='n')}, 6) as low, round({WILSON_HIGH.format(k='hits', n='n')}, 6) as high from steps",
     "snr50": f"with {_STEPS}, l as (select *, lead(snr) over w as s2, lead(recall) over w as r2 from steps window w as (partition by array_id, updated order by snr)), x as (select *, row_number() over (partition by array_id, updated order by snr) as k from l where recall < 0.5 and r2 >= 0.5) select array_id, updated, round(snr + (0.5 - recall) / (r2 - recall) * (s2 - snr), 6) as snr50 from x where k = 1",
-    "recall_falls": f"with {_STEPS}, b as (select *, {_WILSON.format(k='hits', n='n')} as low, {_HIGH.format(k='hits', n='n')} as high from steps), l as (select *, lead(high) over (partition by array_id, updated order by snr) as nh from b) select array_id, updated, snr from l where nh < low",
+    "recall_falls": f"with {_STEPS}, b as (select *, {WILSON_LOW.format(k='hits', n='n')} as low, {WILSON_HIGH.format(k='hits', n='n')} as high from steps), l as (select *, lead(high) over (partition by array_id, updated order by snr) as nh from b) select array_id, updated, snr from l where nh < low",
 }
