@@ -8,6 +8,7 @@ bit-parallel distance verifies each.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from lumenarray.llm.text import words
 
 RUN, ERRORS = 30, 5
 FORMULA_WORDS, FORMULA_ITEMS = 10, 3
+LEAST_OWN = 15
 COMMON_ITEMS = 3
 LEAST_HITS, BAND = 5, 6
 BLOCK_CHARS = 32_000_000
@@ -58,6 +60,21 @@ def myers(patterns: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tuple
     return best, end
 
 
+def own_words(patterns: np.ndarray, own: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Words of each pattern, of those that own marks, that an alignment of
+    least distance to a stretch of the text matches (the most such)."""
+    edit = 64
+    step = edit * np.arange(texts.shape[1] + 1)
+    d = np.zeros((len(patterns), texts.shape[1] + 1), np.int64)
+    for i in range(patterns.shape[1]):
+        lost = edit + own[:, i : i + 1].astype(np.int64)
+        new = d + lost
+        new[:, 1:] = np.minimum(new[:, 1:], d[:, :-1] + np.where(patterns[:, i : i + 1] == texts, 0, lost))
+        new = np.minimum.accumulate(new - step, axis=1) + step
+        d = np.where((patterns[:, i] == -2)[:, None], d, new)
+    return own.sum(axis=1) - d.min(axis=1) % edit
+
+
 @dataclass
 class Items:
     """Pieces of a block of evaluation items, for look-up by hash."""
@@ -65,6 +82,7 @@ class Items:
     vocabulary: dict[str, int]
     ids: list[int]
     words: list[np.ndarray]
+    formula: list[np.ndarray]
     piece: int
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -85,32 +103,53 @@ def piece_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def prepare(rows: list[tuple[int, str]], run: int = RUN, errors: int = ERRORS) -> Items:
+def grams(text: str) -> tuple[bytes, set[bytes]]:
+    """Digests of a text's words and of its runs of FORMULA_WORDS words."""
+    w = words(text)
+    digest = lambda x: hashlib.blake2b(" ".join(x).encode(), digest_size=8).digest()
+    return digest(w), {digest(w[k : k + FORMULA_WORDS]) for k in range(len(w) - FORMULA_WORDS + 1)}
+
+
+def standing(eval_items: DataFrame) -> set[bytes]:
+    """Digests of the formulas of all items: runs of FORMULA_WORDS words in
+    FORMULA_ITEMS items of different text."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(t, g) for t, found in map(grams, batch["text"].tolist()) for g in found], columns=["text", "gram"])
+
+    found = eval_items.filter("item_id is not null and text is not null").select("text").mapInPandas(scan, "text binary, gram binary").distinct()
+    return {bytes(r.gram) for r in found.groupBy("gram").count().filter(F.col("count") >= FORMULA_ITEMS).select("gram").collect()}
+
+
+def prepare(rows: list[tuple[int, str]], run: int = RUN, errors: int = ERRORS, formulas: set[bytes] | None = None) -> Items:
     """Index of (item_id, text) rows. Standing formulas (runs of FORMULA_WORDS
-    words in FORMULA_ITEMS items of different text) are cut out of the items;
-    pieces in more than COMMON_ITEMS items are phrases shared by custom and no
+    words in FORMULA_ITEMS items of different text, counted over these rows if
+    not given) are marked and no anchors; pieces in more than COMMON_ITEMS items are phrases shared by custom and no
     anchors. Items without words are left out; equal texts share their hits."""
     vocabulary: dict[str, int] = {}
-    ids, seqs = [], []
+    ids, seqs, texts = [], [], []
     for i, text in rows:
         w = [vocabulary.setdefault(x, len(vocabulary) + 1) for x in words(text)]
         if i is not None and w:
             ids.append(i)
             seqs.append(np.array(w, np.int64))
-    distinct = {s.tobytes(): s for s in seqs}
-    spread: Counter = Counter()
-    for s in distinct.values():
-        spread.update(set(piece_hashes(s, FORMULA_WORDS).tolist()))
-    for s in seqs:  # a formula's words match nothing
-        h = piece_hashes(s, FORMULA_WORDS)
+            texts.append(text)
+    if formulas is None:
+        spread = Counter(g for found in dict(map(grams, texts)).values() for g in found)
+        formulas = {g for g, n in spread.items() if n >= FORMULA_ITEMS}
+    marks = []
+    for s, text in zip(seqs, texts, strict=True):
         formula = np.zeros(len(s), bool)
-        for k in np.flatnonzero([spread[x] >= FORMULA_ITEMS for x in h.tolist()]):
-            formula[k : k + FORMULA_WORDS] = True
-        s[formula] = -1
-    out = Items(vocabulary, ids, seqs, run // (errors + 1))
+        w = words(text)
+        for k in range(len(s) - FORMULA_WORDS + 1) if formulas else ():
+            if hashlib.blake2b(" ".join(w[k : k + FORMULA_WORDS]).encode(), digest_size=8).digest() in formulas:
+                formula[k : k + FORMULA_WORDS] = True
+        marks.append(formula)
+    out = Items(vocabulary, ids, seqs, marks, run // (errors + 1))
     h, item, at = [], [], []
     for k, s in enumerate(seqs):
-        x = piece_hashes(np.where(s < 0, 0, s), out.piece)
+        x = piece_hashes(np.where(marks[k], 0, s), out.piece)
         keep = np.flatnonzero(x)
         h.append(x[keep])
         item.append(np.full(len(keep), k))
@@ -154,7 +193,7 @@ def candidates(ids: np.ndarray, doc: np.ndarray, items: Items) -> tuple[np.ndarr
 
 def windows(seq: np.ndarray, places: list[int], run: int, errors: int, piece: int) -> list[tuple[int, int]]:
     """Windows of the item around the densest hits of a band; none if they are
-    too few. A window ends at a standing formula."""
+    too few. Words of standing formulas are in them like any others."""
     places = sorted(set(places))
     best = first = last = a = 0
     for z, p in enumerate(places):
@@ -168,10 +207,6 @@ def windows(seq: np.ndarray, places: list[int], run: int, errors: int, piece: in
     for lo in dict.fromkeys((first, (first + last - run) // 2, last - run)):
         lo = max(0, min(lo, len(seq) - run))
         hi = min(lo + run, len(seq))
-        if (seq[lo:hi] < 0).any():
-            bad = np.flatnonzero(seq[lo:hi] < 0)
-            left, right = bad[bad < first - lo], bad[bad >= first - lo]
-            lo, hi = lo + (int(left[-1]) + 1 if len(left) else 0), lo + int(right[0]) if len(right) else hi
         if hi - lo >= run - errors:
             out.append((lo, hi))
     return out
@@ -179,7 +214,8 @@ def windows(seq: np.ndarray, places: list[int], run: int, errors: int, piece: in
 
 def leaks(docs: list[np.ndarray], items: Items, run: int = RUN, errors: int = ERRORS) -> list[tuple[int, int, int, int, int]]:
     """(document, item, distance, item word, document word) of a batch; the
-    budget of a shorter window is in proportion."""
+    budget of a shorter window is in proportion. Of a window with words of
+    standing formulas, LEAST_OWN others must be matched, in one stretch or more."""
     sizes = np.array([len(d) + 1 for d in docs])
     base = np.append(0, np.cumsum(sizes))
     ids = np.zeros(base[-1], np.int64)
@@ -207,7 +243,14 @@ def leaks(docs: list[np.ndarray], items: Items, run: int = RUN, errors: int = ER
             texts[r, : z - x] = docs[d][x:z]
         lengths = np.array([t[3] - t[2] for t in part])
         distance, end = myers(patterns, lengths, texts)
-        for r in np.flatnonzero(distance <= errors * lengths // run).tolist():
+        own = np.zeros(patterns.shape, bool)
+        for r, (_, k, lo, hi, _, _) in enumerate(part):
+            own[r, : hi - lo] = ~items.formula[k][lo:hi]
+        near = distance <= errors * lengths // run
+        enough = near & (own.sum(axis=1) == lengths)
+        check = np.flatnonzero(near & ~enough & (own.sum(axis=1) >= LEAST_OWN))
+        enough[check] = own_words(patterns[check], own[check], texts[check]) >= LEAST_OWN
+        for r in np.flatnonzero(enough).tolist():
             d, k, lo, _, x, _ = part[r]
             found = (int(distance[r]), lo, x + int(end[r]))
             best[d, k] = min(best.get((d, k), found), found)
@@ -224,11 +267,12 @@ def find(documents: DataFrame, eval_items: DataFrame, run: int = RUN, errors: in
     """
     chars = eval_items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
+    formulas = standing(eval_items) if blocks > 1 else None
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     out = None
     for b in range(blocks):
         block = eval_items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else eval_items
-        index = documents.sparkSession.sparkContext.broadcast(prepare([tuple(r) for r in block.select("item_id", "text").distinct().orderBy("item_id").collect()], run, errors))
+        index = documents.sparkSession.sparkContext.broadcast(prepare([tuple(r) for r in block.select("item_id", "text").distinct().orderBy("item_id").collect()], run, errors, formulas))
 
         def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             items = index.value

@@ -67,3 +67,29 @@ def test_empty(spark):
 
 def test_words():
     assert words("Señor-\nía (risas) LÍNEA, 20 [x] l'été") == ["senoria", "linea", "20", "l", "ete"]
+
+
+def test_a_formula_within_a_leak_does_not_hide_it(spark):
+    w = vocabulary(3000, 3)
+    formula = w[2000:2012]
+    items = [(k, " ".join(w[k * 100 : k * 100 + 40] + formula + w[k * 100 + 40 : k * 100 + 80])) for k in range(4)]
+    around = w[2500:2540]
+    leak = w[128:140] + formula + w[140:152]  # 36 words; 12 outside the formula on either side
+    short = w[235:240] + formula + w[240:245]  # 10 words outside it
+    docs = [(1, " ".join(around + leak + around)), (2, " ".join(around + short + around)), (3, " ".join(around + formula + around))]
+    assert pairs(spark, docs, items) == {(1, 1)}
+
+
+def test_formulas_are_counted_over_all_blocks(spark):
+    w = vocabulary(3000, 5)
+    formula = w[2000:2040]
+    items = [(k, " ".join(w[k * 100 : k * 100 + 50] + formula)) for k in range(6)]
+    d = spark.createDataFrame([(1, " ".join(formula)), (2, " ".join(w[105:145]))], "doc_id bigint, text string")
+    found = leakage.find(d, spark.createDataFrame(items, "item_id bigint, text string"), block_chars=400)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(2, 1)}
+
+
+def test_own_words_of_an_alignment():
+    p, t = np.array([[1, 2, 3, 4, -2], [1, 2, 3, 4, 5]]), np.array([[9, 1, 2, 9, 4, -3], [1, 9, 3, 4, 5, -3]])
+    own = np.array([[False, True, True, True, False], [True, True, False, False, False]])
+    assert leakage.own_words(p, own, t).tolist() == [2, 1]
