@@ -1,9 +1,11 @@
 """Problem 7: evaluation passages that leaked into training text.
 
 Pigeonhole edit matching on words: a run of `run` words reproduced with at
-most `errors` edits, cut into errors + 1 pieces, has one piece unharmed. Exact
-hits of such pieces name candidates (document, item, diagonal); Myers'
-bit-parallel distance verifies each.
+most `errors` edits, cut into errors + 1 pieces, has one piece unharmed. For
+each window of an item its own pieces are chosen, of any length, as rare as can
+be. An exact hit of one names a candidate (document, item, diagonal); a count
+of matching words, which no true case fails, and Myers' bit-parallel distance
+verify each.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from lumenarray.llm.text import words
 RUN, ERRORS = 30, 5
 FORMULA_WORDS, FORMULA_ITEMS = 10, 3
 LEAST_OWN = 15
-COMMON_ITEMS = 3
-LEAST_HITS, BAND = 5, 6
+LENGTHS = range(2, 11)
+PART = 8192
 BLOCK_CHARS = 32_000_000
 FOUND = "doc_id bigint, item_id bigint, distance int, item_word int, doc_word int"
 
@@ -77,30 +79,66 @@ def own_words(patterns: np.ndarray, own: np.ndarray, texts: np.ndarray) -> np.nd
 
 @dataclass
 class Items:
-    """Pieces of a block of evaluation items, for look-up by hash."""
+    """Pieces of a block of evaluation items, for look-up by hash: by length
+    the hashes, a table of their last bits, where each one's places begin, and
+    these (in `flat`, where the items lie end to end with gaps of 0)."""
 
     vocabulary: dict[str, int]
     ids: list[int]
     words: list[np.ndarray]
     formula: list[np.ndarray]
-    piece: int
-    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    flat: np.ndarray
+    base: np.ndarray
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
-def piece_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n-gram of word ids; 0 where a word is unknown (id 0)."""
+def piece_hashes(ids: np.ndarray, n: int, shorter: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each n-gram of word ids, from those of the (n-1)-grams if given;
+    0 where a word is unknown (id 0)."""
     if len(ids) < n:
         return np.zeros(0, np.int64)
-    grams = np.lib.stride_tricks.sliding_window_view(ids.astype(np.int64), n)
-    h = np.zeros(len(grams), np.int64)
+    if n == 1:
+        return ids.astype(np.int64)
+    h = piece_hashes(ids, n - 1) if shorter is None else shorter
     with np.errstate(over="ignore"):
-        for k in range(n):
-            h = h * np.int64(1_000_003) + grams[:, k]
-    h[(grams == 0).any(axis=1)] = 0
-    return h
+        out = h[:-1] * np.int64(1_000_003) + ids[n - 1 :]
+    out[(h[:-1] == 0) | (ids[n - 1 :] == 0)] = 0
+    return out
+
+
+def laid(seqs: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences end to end with gaps of 0 before, between and after them; where each begins."""
+    base = gap + np.append(0, np.cumsum([len(s) + gap for s in seqs])).astype(np.int64)
+    flat = np.zeros(base[-1], np.int32)
+    for s, b in zip(seqs, base.tolist(), strict=False):
+        flat[b : b + len(s)] = s
+    return flat, base[:-1]
+
+
+def chosen(cost: np.ndarray, starts: np.ndarray, size: int, pieces: np.ndarray) -> np.ndarray:
+    """Pieces (place, length) that windows take: of each window (starts, all of
+    `size` words) as many disjoint ones as `pieces` says, cheapest in sum.
+    cost: by length in LENGTHS and place, infinite where there is no piece."""
+    most = int(pieces.max())
+    f = np.full((size + 1, most + 1, len(starts)), np.inf, np.float32)
+    f[:, 0] = 0
+    step = np.zeros((size + 1, most + 1, len(starts)), np.int8)
+    for p in range(1, size + 1):
+        f[p, 1:] = f[p - 1, 1:]
+        for k, n in enumerate(LENGTHS):
+            if n <= p:
+                x = f[p - n, :-1] + cost[k, starts + p - n]
+                better = x < f[p, 1:]
+                np.copyto(f[p, 1:], x, where=better)
+                step[p, 1:][better] = n
+    row, p, left, out = np.arange(len(starts)), np.full(len(starts), size), pieces.copy(), []
+    while len(row):
+        n = step[p, left, row].astype(np.int64)
+        took = n > 0
+        out.append(np.stack([(starts[row] + p - n)[took], n[took]], axis=1))
+        p, left = p - np.maximum(n, 1), left - took
+        row, p, left = (x[left > 0] for x in (row, p, left))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def grams(text: str) -> tuple[bytes, set[bytes]]:
@@ -125,8 +163,10 @@ def standing(eval_items: DataFrame) -> set[bytes]:
 def prepare(rows: list[tuple[int, str]], run: int = RUN, errors: int = ERRORS, formulas: set[bytes] | None = None) -> Items:
     """Index of (item_id, text) rows. Standing formulas (runs of FORMULA_WORDS
     words in FORMULA_ITEMS items of different text, counted over these rows if
-    not given) are marked and no anchors; pieces in more than COMMON_ITEMS items are phrases shared by custom and no
-    anchors. Items without words are left out; equal texts share their hits."""
+    not given) are marked and no anchors. A window that must match LEAST_OWN
+    of its other words has room for fewer edits in them, and needs one piece
+    more than these. Items
+    without words are left out; equal texts share their hits."""
     vocabulary: dict[str, int] = {}
     ids, seqs, texts = [], [], []
     for i, text in rows:
@@ -146,114 +186,127 @@ def prepare(rows: list[tuple[int, str]], run: int = RUN, errors: int = ERRORS, f
             if hashlib.blake2b(" ".join(w[k : k + FORMULA_WORDS]).encode(), digest_size=8).digest() in formulas:
                 formula[k : k + FORMULA_WORDS] = True
         marks.append(formula)
-    out = Items(vocabulary, ids, seqs, marks, run // (errors + 1))
-    h, item, at = [], [], []
-    for k, s in enumerate(seqs):
-        x = piece_hashes(np.where(marks[k], 0, s), out.piece)
-        keep = np.flatnonzero(x)
-        h.append(x[keep])
-        item.append(np.full(len(keep), k))
-        at.append(keep)
-    if h:
-        hh, ii, aa = map(np.concatenate, (h, item, at))
-        order = np.lexsort((aa, ii, hh))
-        hh, ii, aa = hh[order], ii[order], aa[order]
-        texts = np.array([hash(seqs[i].tobytes()) for i in range(len(seqs))])
-        uniq, start, count = np.unique(hh, return_index=True, return_counts=True)
-        many = {int(uniq[g]) for g in np.flatnonzero(count > COMMON_ITEMS) if len(set(texts[ii[start[g] : start[g] + count[g]]].tolist())) > COMMON_ITEMS}
-        keep = ~np.isin(hh, list(many)) if many else np.ones(len(hh), bool)
-        hh, out.item, out.at = hh[keep], ii[keep], aa[keep]
-        out.hashes, first = np.unique(hh, return_index=True)
-        out.first = np.append(first, len(hh))
+    flat, base = laid(seqs, run)
+    own = np.zeros(len(flat), bool)
+    for b, m in zip(base.tolist(), marks, strict=True):
+        own[b : b + len(m)] = ~m
+    out = Items(vocabulary, ids, seqs, marks, flat, base)
+    if not seqs:
+        return out
+    first = {s.tobytes(): k for k, s in reversed(list(enumerate(seqs)))}
+    once = np.zeros(len(flat), bool)  # equal texts count once
+    for k in first.values():
+        once[base[k] : base[k] + len(seqs[k])] = True
+    free, h = np.where(own, flat, 0).astype(np.int64), None
+    cost = np.full((len(LENGTHS), len(flat)), np.inf, np.float32)
+    hashes = {}
+    for n in range(1, LENGTHS[-1] + 1):
+        h = piece_hashes(free, n, h)
+        if n in LENGTHS and len(h):
+            hashes[n] = h
+            at = np.flatnonzero(h)
+            _, which = np.unique(h[at], return_inverse=True)
+            count = np.bincount(which, weights=once[at])[which] if len(at) else np.zeros(0)
+            cost[n - LENGTHS[0], at] = count**2 + 64 * 4.0 ** (1 - n) + (h[at] >> 20 & 1023) / 4096
+    total = np.append(0, np.cumsum(own))
+    taken = []
+    lengths = np.array([len(s) for s in seqs])
+    for size in np.unique(np.minimum(lengths, run)).tolist():
+        budget = errors * size // run
+        if size < run - errors:
+            continue
+        starts = np.concatenate([base[k] + np.arange(lengths[k] - size + 1) for k in np.flatnonzero(np.minimum(lengths, run) == size)])
+        mine = total[starts + size] - total[starts]
+        spare = np.where(mine == size, budget, np.minimum(budget, mine - LEAST_OWN))
+        starts, spare = starts[spare >= 0], spare[spare >= 0]
+        taken += [chosen(cost, starts[a : a + PART], size, spare[a : a + PART] + 1) for a in range(0, len(starts), PART)]
+    taken = np.unique(np.concatenate(taken), axis=0) if taken else np.zeros((0, 2), np.int64)
+    for n in LENGTHS:
+        at = taken[taken[:, 1] == n, 0]
+        if len(at):
+            at = at[np.argsort(hashes[n][at], kind="stable")]
+            known, begin = np.unique(hashes[n][at], return_index=True)
+            bits = np.zeros(1 << max(16, int(len(known)).bit_length() + 4), bool)
+            bits[known & (len(bits) - 1)] = True
+            out.pieces[n] = known, bits, np.append(begin, len(at)), at
     return out
 
 
-def candidates(ids: np.ndarray, doc: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
-    """Exact piece hits of a batch of documents, whose word ids lie end to end
-    with an unknown word between them, gathered to bands (document, item,
-    neighbouring diagonals): first hit, number of hits, and the hits' item,
-    item place and batch place."""
-    h = piece_hashes(ids, items.piece)
+def candidates(ids: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact hits of pieces in a batch of documents, laid end to end: place in
+    the items, place in the batch, length."""
+    at, place, length, h = [], [], [], None
+    for n in range(1, max(items.pieces, default=0) + 1):
+        h = piece_hashes(ids, n, h)
+        if n not in items.pieces or not len(h):
+            continue
+        known, bits, first, places = items.pieces[n]
+        hit = np.flatnonzero(bits[h & (len(bits) - 1)])
+        g = np.minimum(np.searchsorted(known, h[hit]), len(known) - 1)
+        same = known[g] == h[hit]
+        hit, g = hit[same], g[same]
+        counts = first[g + 1] - first[g]
+        at.append(places[np.repeat(first[g] - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum())])
+        place.append(np.repeat(hit, counts))
+        length.append(np.full(len(place[-1]), n))
     none = np.zeros(0, np.int64)
-    if not len(h) or not len(items.hashes):
-        return none, none, none, none, none
-    known = np.flatnonzero(h)
-    g = np.minimum(np.searchsorted(items.hashes, h[known]), len(items.hashes) - 1)
-    same = items.hashes[g] == h[known]
-    hit, g = known[same], g[same]
-    counts = items.first[g + 1] - items.first[g]
-    row = np.repeat(items.first[g] - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum())
-    item, at, place = items.item[row], items.at[row], np.repeat(hit, counts)
-    order = np.lexsort((at, place - at, item, doc[place]))
-    item, at, place = item[order], at[order], place[order]
-    new = np.append(True, (np.diff(item) != 0) | (np.diff(doc[place]) != 0) | (np.diff(place - at) > BAND))
-    start = np.flatnonzero(new[: len(item)])
-    return start, np.diff(np.append(start, len(item))), item, at, place
-
-
-def windows(seq: np.ndarray, places: list[int], run: int, errors: int, piece: int) -> list[tuple[int, int]]:
-    """Windows of the item around the densest hits of a band; none if they are
-    too few. Words of standing formulas are in them like any others."""
-    places = sorted(set(places))
-    best = first = last = a = 0
-    for z, p in enumerate(places):
-        while places[a] < p - run + piece:
-            a += 1
-        if z - a + 1 > best:
-            best, first, last = z - a + 1, places[a], p + piece
-    if best < LEAST_HITS:
-        return []
-    out = []
-    for lo in dict.fromkeys((first, (first + last - run) // 2, last - run)):
-        lo = max(0, min(lo, len(seq) - run))
-        hi = min(lo + run, len(seq))
-        if hi - lo >= run - errors:
-            out.append((lo, hi))
-    return out
+    return (np.concatenate(at), np.concatenate(place), np.concatenate(length)) if at else (none, none, none)
+
+
+def windows(ids: np.ndarray, items: Items, at: np.ndarray, place: np.ndarray, length: np.ndarray, size: int, errors: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of `size` words around hits, from low to high: hit and start in
+    the items of each in which at most `errors` words are missing from the
+    neighbouring diagonals, as in any window within that distance."""
+    reach = np.arange(2 * size)
+    there = np.zeros((len(at), 2 * size), bool)
+    mine = items.flat[np.clip(at[:, None] - size + reach, 0, len(items.flat) - 1)]
+    text = ids[np.clip(place[:, None] - size - errors + np.arange(2 * size + 2 * errors), 0, len(ids) - 1)]
+    for s in range(2 * errors + 1):
+        there |= mine == text[:, s : s + 2 * size]
+    there &= mine > 0
+    total = np.zeros((len(at), 2 * size + 1), np.int16)
+    np.cumsum(there, axis=1, out=total[:, 1:])
+    hit, start = np.nonzero(total[:, size:] - total[:, : size + 1] >= size - errors)
+    start = at[hit] - size + start
+    fits = (start >= low[hit]) & (start <= high[hit])
+    return hit[fits], start[fits]
 
 
 def leaks(docs: list[np.ndarray], items: Items, run: int = RUN, errors: int = ERRORS) -> list[tuple[int, int, int, int, int]]:
     """(document, item, distance, item word, document word) of a batch; the
-    budget of a shorter window is in proportion. Of a window with words of
+    budget of a shorter item is in proportion. Of a window with words of
     standing formulas, LEAST_OWN others must be matched, in one stretch or more."""
-    sizes = np.array([len(d) + 1 for d in docs])
-    base = np.append(0, np.cumsum(sizes))
-    ids = np.zeros(base[-1], np.int64)
-    for d, b in zip(docs, base.tolist(), strict=False):
-        ids[b : b + len(d)] = d
-    start, size, item, at, place = candidates(ids, np.repeat(np.arange(len(docs)), sizes), items)
-    start, size = start[size >= LEAST_HITS], size[size >= LEAST_HITS]
-    doc = np.searchsorted(base, place[start], side="right") - 1
-    shift = place - at
-    todo = []  # document, item, window of the item, window of the document
-    for b, n, d in zip(start.tolist(), size.tolist(), doc.tolist(), strict=True):
-        k, low, high = int(item[b]), int(shift[b : b + n].min() - base[d]), int(shift[b : b + n].max() - base[d])
-        for lo, hi in windows(items.words[k], at[b : b + n].tolist(), run, errors, items.piece):
-            todo.append((d, k, lo, hi, max(0, lo + low - errors), min(len(docs[d]), hi + high + errors)))
+    ids, base = laid(docs, run + 2 * errors)
+    at, place, length = candidates(ids, items)
+    item = np.searchsorted(items.base, at, side="right") - 1
+    sizes = np.array([len(s) for s in items.words], np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    todo.sort(key=lambda t: t[5] - t[4])
-    for a in range(0, len(todo), 4096):
-        part = [t for t in todo[a : a + 4096] if t[5] > t[4]]
-        if not part:
-            continue
-        patterns = np.full((len(part), run), -2, np.int64)
-        texts = np.full((len(part), part[-1][5] - part[-1][4]), -3, np.int64)
-        for r, (d, k, lo, hi, x, z) in enumerate(part):
-            patterns[r, : hi - lo] = items.words[k][lo:hi]
-            texts[r, : z - x] = docs[d][x:z]
-        lengths = np.array([t[3] - t[2] for t in part])
-        distance, end = myers(patterns, lengths, texts)
-        own = np.zeros(patterns.shape, bool)
-        for r, (_, k, lo, hi, _, _) in enumerate(part):
-            own[r, : hi - lo] = ~items.formula[k][lo:hi]
-        near = distance <= errors * lengths // run
-        enough = near & (own.sum(axis=1) == lengths)
-        check = np.flatnonzero(near & ~enough & (own.sum(axis=1) >= LEAST_OWN))
-        enough[check] = own_words(patterns[check], own[check], texts[check]) >= LEAST_OWN
-        for r in np.flatnonzero(enough).tolist():
-            d, k, lo, _, x, _ = part[r]
-            found = (int(distance[r]), lo, x + int(end[r]))
-            best[d, k] = min(best.get((d, k), found), found)
+    for size in np.unique(np.minimum(sizes[item], run)).tolist():
+        budget = errors * size // run
+        mine = np.flatnonzero(np.minimum(sizes[item], run) == size)
+        found = []
+        for a in range(0, len(mine), PART):
+            x = mine[a : a + PART]
+            low = np.maximum(items.base[item[x]], at[x] + length[x] - size)
+            high = np.minimum(items.base[item[x]] + sizes[item[x]] - size, at[x])
+            hit, start = windows(ids, items, at[x], place[x], length[x], size, budget, low, high)
+            found.append(np.stack([start, start + (place[x] - at[x])[hit] - budget, item[x][hit]], axis=1))
+        todo = np.unique(np.concatenate(found), axis=0)
+        for a in range(0, len(todo), PART):
+            start, text, k = todo[a : a + PART].T
+            patterns = items.flat[start[:, None] + np.arange(size)].astype(np.int64)
+            texts = ids[np.clip(text[:, None] + np.arange(size + 2 * budget), 0, len(ids) - 1)].astype(np.int64)
+            distance, end = myers(patterns, np.full(len(start), size), texts)
+            own = np.stack([~items.formula[i][b : b + size] for i, b in zip(k.tolist(), (start - items.base[k]).tolist(), strict=True)]) if len(k) else np.zeros((0, size), bool)
+            near = distance <= budget
+            enough = near & own.all(axis=1)
+            check = np.flatnonzero(near & ~enough & (own.sum(axis=1) >= LEAST_OWN))
+            enough[check] = own_words(patterns[check], own[check], texts[check]) >= LEAST_OWN
+            for r in np.flatnonzero(enough).tolist():
+                word = int(text[r] + end[r])
+                d = int(np.searchsorted(base, word, side="right")) - 1
+                new = int(distance[r]), int(start[r] - items.base[k[r]]), word - int(base[d])
+                best[d, int(k[r])] = min(best.get((d, int(k[r])), new), new)
     return [(d, k, *v) for (d, k), v in best.items()]
 
 

@@ -93,3 +93,23 @@ def test_own_words_of_an_alignment():
     p, t = np.array([[1, 2, 3, 4, -2], [1, 2, 3, 4, 5]]), np.array([[9, 1, 2, 9, 4, -3], [1, 9, 3, 4, 5, -3]])
     own = np.array([[False, True, True, True, False], [True, True, False, False, False]])
     assert leakage.own_words(p, own, t).tolist() == [2, 1]
+
+
+def test_every_window_within_its_edits_is_found(spark):
+    w = vocabulary(6000, 8)
+    phrases = [w[5000 + k * 5 : 5005 + k * 5] for k in range(12)]  # shared by custom: each in many items
+    rng = random.Random(9)
+    items = []
+    for k in range(12):
+        own = w[k * 200 : k * 200 + 60]
+        for z in range(0, 60, 10):
+            own[z : z + 5] = phrases[rng.randrange(12)]
+        items.append((k, " ".join(own)))
+    docs = []
+    for k in range(12):
+        for z in range(31):
+            run = items[k][1].split()[z : z + 30]
+            for n, p in enumerate((4, 9, 14, 19, 24)):  # one unharmed piece of five words, the last
+                run[p] = f"misread{n}"
+            docs.append((k * 100 + z, " ".join(run)))
+    assert {(d, d // 100) for d, _ in docs} <= pairs(spark, docs, items)
