@@ -7,7 +7,8 @@ fine mixture with regularised covariance tells the recurring sources from a
 broad background, an information criterion deciding which components stay.
 The member of highest density represents a component; links of members to
 representatives, each checked by cosine, join the parts of one source that
-lie in several coarse components.
+lie in several coarse components. What routing has kept apart is joined by an
+exact comparison of one member of each source with those of all others.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ LEAST_BLOCK = 8
 ROUTES = 3  # coarse components a row is tried in
 KEPT_VARIANCE = 0.95
 EM_ROUNDS = 4
+PART_ROWS = 32_768  # sources a part of the exact comparison, at most
 FLOOR = 0.01  # least variance of a component, in standardised units
 
 
@@ -261,6 +263,41 @@ def components(links: DataFrame) -> DataFrame:
     return ends.join(label.withColumnRenamed("a", "least"), "least").select("id", "source")
 
 
+def joined(labels: DataFrame, rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Labels (id, source) in which sources that are alike are one.
+
+    All members of a source are alike, so the one that names it stands for it,
+    whichever part of a true source it is. Each is compared with all others, in
+    pairs of parts; a part goes to as many tasks as there are parts, so work
+    grows with the square of the sources and no task with the data.
+    """
+    heads = cut(rows.join(labels.select(F.col("source").alias("id")).distinct(), "id").select("id", "vec"))
+    n = heads.count()
+    parts = max(math.ceil(n / part_rows), min(6, math.ceil(n / 2_000)))
+    if not parts:
+        return labels
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, u, part = group["id"].to_numpy(), unit_rows(group["vec"]).astype(np.float32), group["part"].to_numpy()
+        a, b = np.flatnonzero(part == group["a"].iloc[0]), np.flatnonzero(part == group["b"].iloc[0])
+        right, out = np.ascontiguousarray(u[b].T), []
+        for k in range(0, len(a), 512):
+            i, j = np.nonzero(u[a[k : k + 512]] @ right >= SAME)
+            out.append(np.stack([ids[a[k + i]], ids[b[j]]], axis=1))
+        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        found = found[found[:, 0] != found[:, 1]]
+        return pd.DataFrame({"id": found.max(axis=1), "rep": found.min(axis=1)})
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    spread = heads.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("other", other)
+    spread = spread.select("id", "vec", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    alike = cut(spread.groupBy("a", "b").applyInPandas(run, "id bigint, rep bigint").distinct())
+    if alike.isEmpty():
+        return labels
+    merged = components(alike.unionByName(alike.select("id", F.col("id").alias("rep"))).unionByName(alike.select(F.col("rep").alias("id"), "rep")).distinct())
+    return labels.join(merged.select(F.col("id").alias("source"), F.col("source").alias("whole")), "source", "left").select("id", F.coalesce("whole", "source").alias("source"))
+
+
 def sources(clusters: DataFrame, block_rows: int = BLOCK_ROWS, routes: int = ROUTES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """id, source, vec, n_events, zone, array_id of every usable signature.
 
@@ -272,7 +309,7 @@ def sources(clusters: DataFrame, block_rows: int = BLOCK_ROWS, routes: int = ROU
     if not n:
         return rows.select("id", F.col("id").alias("source"), "vec", "n_events", "zone", "array_id")
     matrix = reducer(mean, cov)
-    labels = components(fine_links(rows, n, mean, matrix, block_rows, routes, chunk_rows))
+    labels = joined(cut(components(fine_links(rows, n, mean, matrix, block_rows, routes, chunk_rows))), rows)
     return labels.join(rows, "id").select("id", "source", "vec", "n_events", "zone", "array_id")
 
 

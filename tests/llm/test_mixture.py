@@ -49,3 +49,18 @@ def test_empty_and_alone(spark):
     one = mixture.sources(clusters(spark, [(5, None, [1.0] * 64, 1, 1.0)]))
     assert [(r.id, r.source) for r in one.collect()] == [(5, 5)]
     assert mixture.pairs(one).count() == 0
+
+
+def test_sources_that_routing_keeps_apart(spark):
+    rows, truth = planted([2] * 60 + [9], 80, seed=3)
+    want = {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]}
+    got = {(r.id_a, r.id_b) for r in mixture.pairs(mixture.sources(clusters(spark, rows), block_rows=4, routes=1)).collect()}
+    assert got == want
+
+
+def test_sources_compared_in_many_parts(spark):
+    rows, truth = planted([3] * 20, 30, seed=4)
+    d = mixture.usable(clusters(spark, rows)).select("id", "vec")
+    alone = d.select("id", d["id"].alias("source"))
+    got = {(r.id, r.source) for r in mixture.joined(alone, d, part_rows=9).collect()}
+    assert got == {(i, min(j for j in truth if truth[j] == truth[i])) if i in truth else (i, i) for i in range(90)}
