@@ -43,6 +43,17 @@ def best_candidates(c: DataFrame) -> DataFrame:
     return c.groupBy("event_file", "origin_ms").agg(F.min(row).alias("b"), F.count("*").alias("n")).select("event_file", "b.file", "b.event_id", "b.classification", "n", ((F.col("b.at_ms") - F.col("origin_ms")) / 1000).alias("delay_s"))
 
 
+def loudest(truth: DataFrame, resultados: DataFrame) -> DataFrame:
+    """For truth without an origin, the verdict with most channels of the whole
+    file; ties take the first in time (unknown times last), then the least
+    event_id, then the least classification."""
+    v = resultados.filter("file is not null and event_id is not null")
+    time = F.when(~F.isnan("time_offset_s"), F.col("time_offset_s"))
+    row = F.struct((-F.coalesce("coherent_channels", F.lit(0))).alias("_c"), F.coalesce(time, F.lit(float("inf"))).alias("_t"), "event_id", "classification")
+    most = v.groupBy(F.col("file").alias("event_file")).agg(F.min(row).alias("b"))
+    return truth.filter("magnitude is not null and origin_ms is null").select("event_file").join(most, "event_file").select("event_file", "b.event_id", "b.classification")
+
+
 def outcomes(truth: DataFrame, best: DataFrame) -> DataFrame:
     """Outcome of each event file: no truth, no candidate, or what answered."""
     known = F.col("magnitude").isNotNull() | F.col("origin_ms").isNotNull()

@@ -79,6 +79,14 @@ def outcome_per_file(spark, d):
     return scoring.outcomes(catalog.decoded(table(spark, d, "ledger")), scoring.best_candidates(_candidates(spark, d)))
 
 
+def outcome_per_file_whole(spark, d):
+    """As outcome_per_file; truth without an origin is answered by the verdict
+    with most channels of its file."""
+    truth = catalog.decoded(table(spark, d, "ledger"))
+    best = scoring.best_candidates(_candidates(spark, d)).select("event_file", "classification")
+    return scoring.outcomes(truth, best.unionByName(scoring.loudest(truth, table(spark, d, "resultados")).select("event_file", "classification")))
+
+
 def outcome_matrix(spark, d):
     return _r(scoring.outcome_matrix(catalog.decoded(table(spark, d, "ledger"))), "rate", "low", "high")
 
@@ -148,7 +156,7 @@ def recall_falls(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    ledger_latest, ledger_decoded, ledger_invalidated, profile_merge, profile_config, profile_archive, resolvable_speed, nearest_prototype, promote, unpromoted, causal_match, best_candidate, outcome_per_file,
+    ledger_latest, ledger_decoded, ledger_invalidated, profile_merge, profile_config, profile_archive, resolvable_speed, nearest_prototype, promote, unpromoted, causal_match, best_candidate, outcome_per_file, outcome_per_file_whole,
     outcome_matrix, array_outcomes, stale_hits, delay_anomalies, detectability, calibration_flips, calibration_choice, recall_overlay, quiet_stretches, calibration_score, recall_gauge, recall_curves, snr50, recall_falls,
 )}
 
