@@ -52,9 +52,9 @@ def test_empty_and_alone(spark):
 
 
 def test_sources_that_routing_keeps_apart(spark):
-    rows, truth = planted([2] * 60 + [9], 80, seed=3)
+    rows, truth = planted([2] * 20 + [5], 20, seed=3)
     want = {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]}
-    got = {(r.id_a, r.id_b) for r in mixture.pairs(mixture.sources(clusters(spark, rows), block_rows=4, routes=1)).collect()}
+    got = {(r.id_a, r.id_b) for r in mixture.pairs(mixture.sources(clusters(spark, rows), block_rows=1, routes=1)).collect()}
     assert got == want
 
 
