@@ -38,7 +38,7 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_flags(spark, d).select(F.col("key").alias("event_file"), "field").distinct()
+    return spikes.ledger_cases(table(spark, d, "ledger"), table(spark, d, "arrays"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p2_unified, p3_found, p3_children, p5_found, p5_flags)}
