@@ -10,8 +10,17 @@ from lumenarray.queries.ledger import VERDICT_TIMES
 from lumenarray.session import table
 
 
+SOURCE_COSINE = 0.785  # fixed value: signatures of one source have 0.80 or more, those of two less than 0.77
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.pairs(mixture.sources(table(spark, d, "unknown_clusters")))
+    """Pairs of the mixture's sources; its links are checked by their cosine."""
+    return mixture.pairs(mixture.sources(table(spark, d, "unknown_clusters"), least_cosine=SOURCE_COSINE))
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each usable signature with its source, as the mixture alone has it."""
+    return mixture.sources(table(spark, d, "unknown_clusters")).select("id", "source", (F.col("id") == F.col("source")).alias("representative"))
 
 
 def p4_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +65,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return p9_subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_sources, p9_found, p9_subjects, p9_shares, p6_found, p6_pairs, p7_found, p7_leaks, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_members, p4_sources, p9_found, p9_subjects, p9_shares, p6_found, p6_pairs, p7_found, p7_leaks, p8_mix, p8_shares)}
 
 SQL = {
     "p4_found": """with ok as (select id, vec, row_number() over (partition by id order by last_seen desc nulls last, n_events desc nulls last) as k from unknown_clusters where id is not null and len(vec) = 64 and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0),
