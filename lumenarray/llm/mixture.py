@@ -30,7 +30,7 @@ DIM = 64
 KEPT_VARIANCE = 0.95
 FANOUT = 64  # coarse components of a node, at most
 ROUTES = 2  # children a row is sent down to
-LEAF_ROWS = 4_000  # rows a fine mixture, at most
+LEAF_ROWS = 3_000  # rows a fine mixture, at most
 SAMPLE_ROWS = 8_192  # rows a coarse mixture is fitted on, at most; all rows are routed
 EM_ROUNDS = 6
 PRIOR_ROWS, PRIOR_VARIANCE = 8.0, 0.2  # a component's variances are regularised as by so many rows
@@ -153,8 +153,22 @@ def fine_mixture(x: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, np.ndarray
         return component, density
     pull = math.log(2 / n)  # of a component of two rows, the least there is
     row, other, ratio = kernel_links(x, -pull)
-    x64 = x.astype(np.float64)
-    background = -0.5 * (x64**2).sum(1)
+    # rows without such a link are background whatever the components
+    linked = np.unique(np.concatenate([row, other]))
+    if not len(linked):
+        return component, density
+    place = np.zeros(n, np.int64)
+    place[linked] = np.arange(len(linked))
+    found, dense = _fitted(x[linked], n, place[row], place[other], ratio, pull, price, rounds)
+    component[linked], density[linked] = found, dense
+    return component, density
+
+
+def _fitted(x: np.ndarray, n_all: int, row: np.ndarray, other: np.ndarray, ratio: np.ndarray, pull: float, price: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """fine_mixture of the linked rows of a leaf of n_all rows."""
+    n, d = x.shape
+    component, density = np.full(n, -1), np.zeros(n)
+    background = -0.5 * (x**2).sum(1, dtype=np.float64)
     means, var, mass = np.zeros((0, d)), np.zeros((0, d)), np.zeros(0)
     free = np.ones(n, bool)
     while True:
@@ -175,13 +189,13 @@ def fine_mixture(x: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, np.ndarray
                     taken[mine] = True
         if not seeds:
             break
-        first = np.stack([x64[[i, *m.tolist()]].mean(axis=0) for i, m in seeds])
+        first = np.stack([x[[i, *m.tolist()]].mean(axis=0) for i, m in seeds])
         means = np.concatenate([means, first])
         var = np.concatenate([var, np.full((len(seeds), d), PRIOR_VARIANCE)])
         mass = np.concatenate([mass, [1.0 + len(m) for _, m in seeds]])
         for step in range(rounds + 1):
-            log = np.log(mass / n) + log_densities(x64, means, var)
-            floor = math.log(max(1 - mass.sum() / n, 1 / n)) + background
+            log = np.log(mass / n_all) + log_densities(x, means.astype(np.float32), var.astype(np.float32))
+            floor = math.log(max(1 - mass.sum() / n_all, 1 / n_all)) + background
             top = np.maximum(log.max(axis=1), floor)
             resp = np.exp(log - top[:, None])
             resp /= (resp.sum(axis=1) + np.exp(floor - top))[:, None]
@@ -193,8 +207,9 @@ def fine_mixture(x: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, np.ndarray
             mass = resp.sum(axis=0)
             if not len(mass):
                 break
-            means = resp.T @ x64 / mass[:, None]
-            spread = np.maximum(resp.T @ (x64 * x64) / mass[:, None] - means**2, 0)
+            resp = resp.astype(np.float32)
+            means = resp.T @ x / mass[:, None]
+            spread = np.maximum(resp.T @ (x * x) / mass[:, None] - means**2, 0)
             # the few rows of a source hold its variance; its shape is regularised by its mean width
             round_ = spread.mean(axis=1, keepdims=True)
             var = np.clip((mass[:, None] * (0.5 * spread + 0.5 * round_) + PRIOR_ROWS * PRIOR_VARIANCE) / (mass[:, None] + PRIOR_ROWS), FLOOR, WIDEST)
