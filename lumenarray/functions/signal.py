@@ -1,4 +1,4 @@
-"""Fourier and filter kernels on traces, in Arrow batches.
+"""Fourier and filter kernels on traces, in Arrow batches.
 
 A kernel takes a batch of equally long traces as one matrix; Spark partitions
 the traces, one row a channel.
@@ -108,33 +108,39 @@ def picks(beam: np.ndarray, fs: float, trigger: float = 3.5) -> tuple[float | No
 
     S is where the smoothed power that leads to the greatest value after 4 s
     leaves 5 % of it; P where the short- against long-term power before it is
-    greatest, walked back to 10 %.
+    greatest, walked back to 10 % of the greatest smoothed power there.
     """
+    # 6 s and 4 s, 8 times the floor, 5 % and 10 %, 0.2, 3, 0.4, 0.6 and 0.5 s.
     if len(beam) < 6 * fs:
         return None, None
     power = np.maximum(beam - np.median(beam), 0) ** 2
-    floor = np.percentile(power, 75) + 1e-20
+    floor = np.percentile(power, 75) + 1e-12
     w = max(1, int(0.2 * fs))
     smooth = np.convolve(power, np.ones(w) / w, mode="same")
 
-    def back(top: int, share: float, most: int) -> int:
-        low = max(0, top - most)
-        below = np.flatnonzero(smooth[low:top] < share * smooth[top])
-        return low + int(below[-1]) + 1 if len(below) else low
-
     after = int(4 * fs)
-    top = after + int(np.argmax(smooth[after:])) if after < len(smooth) else int(np.argmax(smooth))
+    if len(power) <= after + int(fs):
+        return None, None
+
+    def back(top: int, level: float) -> int:
+        low = max(after, top - int(6 * fs))
+        below = np.flatnonzero(smooth[low : top + 1] <= level)
+        return low + int(below[-1]) if len(below) else low
+
+    top = after + int(np.argmax(smooth[after:]))
     if smooth[top] < 8 * floor:
         return None, None
-    s = back(top, 0.05, int(6 * fs))
-    c = np.append(0, np.cumsum(power))
-    short, long, gap = int(0.2 * fs), int(3 * fs), int(0.4 * fs)
-    i = np.arange(long + gap + short, max(long + gap + short, s - int(0.6 * fs)))
-    if len(i):
-        ratio = ((c[i] - c[i - short]) / short) / ((c[i - short - gap] - c[i - short - gap - long]) / long + 0.5 * floor)
+    s = back(top, 0.05 * smooth[top])
+    end = s - int(0.6 * fs)
+    if end - after > int(0.5 * fs):
+        short, long, gap = max(1, int(0.2 * fs)), max(2, int(3 * fs)), int(0.4 * fs)
+        c = np.append(0, np.cumsum(power))
+        mean = lambda i, w: (c[i + 1] - c[np.maximum(i + 1 - w, 0)]) / np.minimum(i + 1, w)
+        i = np.arange(after, end)
+        ratio = mean(i, short) / (mean(np.maximum(i - gap, 0), long) + 0.5 * floor)
         k = int(np.argmax(ratio))
         if ratio[k] > trigger:
-            return back(int(i[k]), 0.10, int(3 * fs)) / fs, s / fs
+            return back(int(i[k]), 0.10 * (float(smooth[after:end].max()) + 1e-12)) / fs, s / fs
     return s / fs, None
 
 

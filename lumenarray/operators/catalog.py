@@ -6,8 +6,13 @@ in place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenarray.functions.files import absolute_ms, current
 from lumenarray.operators.nested import whole_json
@@ -30,27 +35,74 @@ def prototypes(signatures: DataFrame, label: str, vec: str, dim: int) -> DataFra
     return signatures.groupBy(F.col(label).alias("label")).agg(F.array(*(F.avg(F.col(vec)[i]) for i in range(dim))).alias("proto"))
 
 
-def nearest_prototype(signatures: DataFrame, protos: DataFrame, tau: float = 0.85, most: int = 100_000) -> DataFrame:
+def nearest_prototype(signatures: DataFrame, protos: DataFrame, tau: float = 0.85, scope: str | None = None, block_rows: int = 50_000) -> DataFrame:
     """signatures (id, vec) with the most similar prototype (ties: least label)
-    and whether it is recognised.
+    and whether it is recognised. scope: a column of both sides; a signature
+    meets the prototypes of its own scope only (none, if that is null), and
+    gives no row where there are none.
 
-    Up to `most` prototypes travel with each task as one array, which every
-    signature is held against; beyond, signatures meet prototypes in blocks.
+    Prototypes travel with the tasks in blocks of at most block_rows, each a
+    matrix of unit rows; a batch of signatures meets a block in one product.
     """
+    cols = ["label", "proto"] + ([scope] if scope else [])
     n = protos.count()
-    blocks = max(1, -(-n // most))
-    packed = protos.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("label", "proto")).alias("ps"))
-    d = signatures.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(packed, "block")
-    best = F.array_max(F.transform("ps", lambda p: F.struct(F.round(cosine(F.col("vec"), p["proto"]), 9).alias("similarity"), (-p["label"]).alias("_l"), p["label"].alias("label"))))
-    top = d.select("id", best.alias("b")).groupBy("id").agg(F.max("b").alias("b"))
-    return top.select("id", "b.label", "b.similarity", (F.col("b.similarity") >= tau).alias("recognised"))
+    blocks = max(1, -(-n // block_rows))
+    out = None
+    for k in range(blocks):
+        mine = protos.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k) if blocks > 1 else protos
+        rows = mine.select(*cols).filter("label is not null and proto is not null").orderBy("label").collect()
+        matrix = np.array([r.proto for r in rows], float) if rows else np.zeros((0, 1))
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-12
+        held = signatures.sparkSession.sparkContext.broadcast((matrix, [r.label for r in rows], np.array([r[scope] for r in rows], object) if scope else None))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            matrix, labels, scopes = held.value
+            for b in batches:
+                for a in range(0, len(b) if len(labels) else 0, 2_000):
+                    part = b.iloc[a : a + 2_000]
+                    x = np.stack(part["vec"].to_numpy()).astype(float)
+                    c = np.round((x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)) @ matrix.T, 9)
+                    if scopes is not None:
+                        c[part["scope"].to_numpy(object)[:, None] != scopes] = -2
+                    best = c.argmax(axis=1)
+                    near = c[np.arange(len(c)), best]
+                    keep = near > -2
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[keep], "label": [labels[j] for j in best[keep]], "similarity": near[keep]})
+
+        s = signatures.filter("vec is not null").select("id", "vec", *([F.col(scope).alias("scope")] if scope else []))
+        s = s.filter("scope is not null") if scope else s
+        got = s.mapInPandas(run, f"id {dict(signatures.dtypes)['id']}, label {dict(protos.dtypes)['label']}, similarity double")
+        out = got if out is None else out.unionByName(got)
+    if blocks > 1:
+        least = F.struct((-F.col("similarity")).alias("far"), "label", "similarity")
+        out = out.groupBy("id").agg(F.min(least).alias("b")).select("id", "b.label", "b.similarity")
+    return out.withColumn("recognised", F.col("similarity") >= tau)
+
+
+def recounted(protos: DataFrame, matches: DataFrame) -> DataFrame:
+    """Prototypes (label, n_events) with one event more for each signature that
+    was recognised as theirs."""
+    more = matches.filter("recognised").groupBy("label").agg(F.count("*").alias("_more"))
+    return protos.join(more, "label", "left").withColumn("n_events", F.col("n_events") + F.coalesce("_more", F.lit(0))).drop("_more")
 
 
 def promoted(clusters: DataFrame, naming: int, label: Column) -> DataFrame:
     """Prototypes from clusters with at least `naming` events: one per label, the
-    cluster with most events (ties: the least id)."""
+    cluster with most events (ties: the least id), with its vector, if it has one."""
     d = clusters.filter(F.col("n_events") >= naming).withColumn("label", label).filter("label is not null")
-    return d.groupBy("label").agg(F.max_by(F.struct("id", "n_events"), F.struct("n_events", -F.col("id"))).alias("c")).select("label", "c.id", "c.n_events")
+    moved = ["id", "n_events"] + (["vec"] if "vec" in clusters.columns else [])
+    return d.groupBy("label").agg(F.max_by(F.struct(*moved), F.struct("n_events", -F.col("id"))).alias("c")).select("label", "c.*")
+
+
+def named(clusters: DataFrame, names: DataFrame, protos: DataFrame) -> DataFrame:
+    """Each wish to name a cluster (names: id, label) with what comes of it: ok,
+    or why not - no such cluster, or a label that is taken by a prototype or by
+    a wish of a lesser id."""
+    w = names.join(clusters.select("id", F.lit(True).alias("_there")).distinct(), "id", "left").join(protos.select("label", F.lit(True).alias("_taken")).distinct(), "label", "left")
+    first = F.row_number().over(Window.partitionBy("label").orderBy(F.col("_there").isNull(), "id"))
+    w = w.withColumn("_first", first)
+    state = F.when(F.col("_there").isNull(), "no such cluster").when(F.col("_taken").isNotNull() | (F.col("_first") > 1), "label taken").otherwise("ok")
+    return w.select("id", "label", state.alias("state"))
 
 
 def remaining(clusters: DataFrame, promoted_ids: DataFrame) -> DataFrame:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenarray.functions.files import file_start_s, with_array
+from lumenarray.operators.ordered import previous_in_order
 from lumenarray.session import cut
+from lumenarray.sources.waveforms import finite
 
 # Outcome labels, and the order in which verdicts answer an origin.
 OUTCOMES = ["CORRECT_REJECTION", "FALSE_ALARM", "HIT", "HONEST_REGIONAL", "HONEST_UNKNOWN", "MISS_BELOW_FLOOR", "MISS_SUPPRESSED"]
 PRIORITY = ["SISMO_CONFIRMADO", "POSIBLE_REGIONAL_EMERGENTE", "FUENTE_MOVIL_TRAFICO", "COHERENTE_DESCONOCIDO", "INCOHERENTE_LOCAL_SUPRIMIDO"]
-ANSWER = {"SISMO_CONFIRMADO": "HIT", "POSIBLE_REGIONAL_EMERGENTE": "HONEST_REGIONAL", "COHERENTE_DESCONOCIDO": "HONEST_UNKNOWN", "FUENTE_MOVIL_TRAFICO": "HONEST_UNKNOWN", "INCOHERENTE_LOCAL_SUPRIMIDO": "MISS_SUPPRESSED"}
+ANSWER = {"SISMO_CONFIRMADO": "HIT", "POSIBLE_REGIONAL_EMERGENTE": "HONEST_REGIONAL", "COHERENTE_DESCONOCIDO": "HONEST_UNKNOWN", "FUENTE_MOVIL_TRAFICO": "MISS_SUPPRESSED", "INCOHERENTE_LOCAL_SUPRIMIDO": "MISS_SUPPRESSED"}
+HONEST = ["HIT", "HONEST_REGIONAL", "HONEST_UNKNOWN"]
+BAD = ["FALSE_ALARM", "MISS_SUPPRESSED"]
 Z95 = 1.959963984540054
 
 
@@ -80,23 +86,40 @@ def outcome_matrix(rows: DataFrame) -> DataFrame:
     return d.select("real", "outcome", "n", "total", (F.col("n") / F.col("total")).alias("rate"), low.alias("low"), high.alias("high"))
 
 
-def repeated_delays(readings: DataFrame, tolerance_ms: int = 100, least: int = 3) -> DataFrame:
-    """array, anchor_ms, n: clusters of detection delays, each anchored at its
-    first value. Delays of 0 to 60 s are counted by millisecond first, so that
-    an array comes to 60,001 counts at most, however many its rows."""
-    ms = F.round(F.col("delay") * 1000).cast("int")
-    counts = readings.filter("delay is not null and not isnan(delay) and delay between 0 and 60").groupBy("array", ms.alias("ms")).count()
-    packed = counts.groupBy("array").agg(F.sort_array(F.collect_list(F.struct("ms", "count"))).alias("v"))
+def repeated_delays(readings: DataFrame, tolerance: float = 0.1, least: int = 3) -> DataFrame:
+    """array, anchor_s, n: clusters of detection delays, each anchored at its
+    first value and holding those at most `tolerance` above it. Null and
+    non-finite delays are left out.
 
-    def step(s: Column, x: Column) -> Column:
-        new = F.size(s) == 0
-        head = F.element_at(s, F.lit(-1))
-        far = x["ms"] - head["ms"] > tolerance_ms
-        grown = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(head["ms"].alias("ms"), (head["count"] + x["count"]).alias("count"))))
-        return F.when(new, F.array(x)).when(far, F.concat(s, F.array(x))).otherwise(grown)
-
-    start = F.slice(F.col("v"), 1, 0)
-    return packed.select("array", F.explode(F.aggregate("v", start, step)).alias("c")).select("array", F.col("c.ms").alias("anchor_ms"), F.col("c.count").alias("n")).filter(F.col("n") >= least)
+    Delays are counted by value first. A gap wider than the tolerance always
+    parts clusters, so each island of values between such gaps is gone through
+    by itself; a step leaps to the first value beyond the anchor's reach.
+    """
+    d = readings.filter("array is not null").select("array", finite(F.col("delay")).alias("v")).filter("v is not null")
+    counts = d.groupBy("array", "v").count()
+    p = previous_in_order(counts, ["array"], ["v"], F.floor("v"), ["v"])
+    starts = F.when(F.col("prev").isNull() | (F.col("v") - F.col("prev.v") > tolerance), F.col("v"))
+    p = p.withColumn("_from", starts).withColumn("_k", F.floor("v")).drop("prev")
+    last = p.groupBy("array", "_k").agg(F.max("_from").alias("_last"))
+    carried = last.select("array", "_k", F.last("_last", ignorenulls=True).over(Window.partitionBy("array").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    here = F.last("_from", ignorenulls=True).over(Window.partitionBy("array", "_k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    islands = p.withColumn("_here", here).join(carried, ["array", "_k"]).select("array", "v", "count", F.coalesce("_here", "_carried").alias("island"))
+
+    def clusters(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("v")
+        v, total = g["v"].to_numpy(), np.append(0, np.cumsum(g["count"].to_numpy()))
+        out, i = [], 0
+        while i < len(v):
+            j = int(np.searchsorted(v, v[i] + tolerance, side="right"))
+            while j < len(v) and v[j] - v[i] <= tolerance:
+                j += 1
+            while v[j - 1] - v[i] > tolerance:
+                j -= 1
+            out.append((g["array"].iloc[0], v[i], int(total[j] - total[i])))
+            i = j
+        return pd.DataFrame(out, columns=["array", "anchor_s", "n"])
+
+    return islands.groupBy("array", "island").applyInPandas(clusters, "array string, anchor_s double, n bigint").filter(F.col("n") >= least)
 
 
 def reclassified(rows: DataFrame, least_semblance: Column) -> Column:
@@ -106,22 +129,59 @@ def reclassified(rows: DataFrame, least_semblance: Column) -> Column:
     return F.when(f.isNull() | s.isNull() | sem.isNull() | v.isNull(), None).when(seismic, PRIORITY[0]).when((f >= 0.5) & (s >= 0.5), PRIORITY[1]).otherwise(PRIORITY[3])
 
 
-def calibration_flips(rows: DataFrame, candidates: tuple[float, ...]) -> DataFrame:
-    """Per candidate bound and change of verdict: how many rows would flip."""
+def calibration_flips(rows: DataFrame, candidates: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per candidate bound and change of verdict (and `keys`): how many rows would flip."""
     d = rows.withColumn("candidate", F.explode(F.array(*map(F.lit, candidates))))
     d = d.withColumn("to_verdict", reclassified(d, F.col("candidate"))).filter("to_verdict is not null and verdict is not null and to_verdict <> verdict")
-    return d.groupBy("candidate", F.col("verdict").alias("from_verdict"), "to_verdict").count().withColumnRenamed("count", "n")
+    return d.groupBy(*keys, "candidate", F.col("verdict").alias("from_verdict"), "to_verdict").count().withColumnRenamed("count", "n")
+
 
+def calibration_outcomes(rows: DataFrame, candidates: tuple[float, ...]) -> DataFrame:
+    """array, event_file, candidate, outcome: what each ledger row with the four
+    metrics would have come to under each candidate bound."""
+    d = rows.withColumn("candidate", F.explode(F.array(*map(F.lit, candidates))))
+    d = d.withColumn("classification", reclassified(d, F.col("candidate"))).filter("classification is not null")
+    answered = F.coalesce(*(F.when(F.col("classification") == k, v) for k, v in ANSWER.items()))
+    known = F.col("magnitude").isNotNull() | F.col("origin_ms").isNotNull()
+    outcome = F.when(known, answered).when(F.col("classification") == PRIORITY[0], "FALSE_ALARM").otherwise("CORRECT_REJECTION")
+    return d.select("array", "event_file", "candidate", outcome.alias("outcome"))
 
-def calibration_scores(rows: DataFrame, candidates: tuple[float, ...], baseline: float = 0.12) -> DataFrame:
-    """Per candidate: rows with truth that become confirmed (improves), cease to
-    be (worsens) or fall from regional (downgrades), and the net score."""
-    d = rows.filter("magnitude is not null").withColumn("candidate", F.explode(F.array(*map(F.lit, candidates))))
-    d = d.withColumn("was", reclassified(d, F.lit(baseline))).withColumn("now", reclassified(d, F.col("candidate"))).filter("was is not null")
-    c = lambda cond: F.sum(cond.cast("int"))
-    up, down = c((F.col("was") != PRIORITY[0]) & (F.col("now") == PRIORITY[0])), c((F.col("was") == PRIORITY[0]) & (F.col("now") != PRIORITY[0]))
-    lost = c((F.col("was") == PRIORITY[1]) & (F.col("now") == PRIORITY[3]))
-    return d.groupBy("candidate").agg(up.alias("improves"), down.alias("worsens"), lost.alias("downgrades")).withColumn("net", F.col("improves") - 2 * F.col("worsens") - 0.5 * F.col("downgrades"))
+
+def sweep_scores(outcomes: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Of each candidate but the baseline's own: how many outcomes improve (from
+    below the floor to an honest one), worsen (into a bad one) or are
+    downgraded (from an honest one to below the floor), and the net score.
+
+    outcomes: array, event_file, candidate, outcome; baseline: array,
+    event_file, outcome. eligible: nothing worsens and the net is above 0.
+    """
+    d = outcomes.join(baseline.withColumnRenamed("outcome", "was"), ["array", "event_file"])
+    c = lambda cond: F.coalesce(F.sum(F.coalesce(cond, F.lit(False)).cast("int")), F.lit(0))
+    was, now = F.col("was"), F.col("outcome")
+    out = d.groupBy("array", "candidate").agg(
+        c(was != now).alias("changes"), c((was == "MISS_BELOW_FLOOR") & now.isin(HONEST)).alias("improves"), c(now.isin(BAD) & ~was.isin(BAD)).alias("worsens"), c(was.isin(HONEST) & (now == "MISS_BELOW_FLOOR")).alias("downgrades")
+    )
+    net = F.col("improves") - 2 * F.col("worsens") - 0.5 * F.col("downgrades")
+    return out.withColumn("net", net.cast("double")).withColumn("eligible", (F.col("worsens") == 0) & (F.col("net") > 0))
+
+
+def proposals(scores: DataFrame, arrays: DataFrame, param: str, current: Column) -> DataFrame:
+    """array, param, old_value, new_value, retained: the eligible candidate of
+    the greatest net score (ties: the lower) of each array; where there is
+    none, the value in force is proposed again, so that the sweep is on record.
+    arrays: array and what `current` needs."""
+    best = scores.filter("eligible").groupBy("array").agg(F.max_by("candidate", F.struct("net", -F.col("candidate"))).alias("best"))
+    d = arrays.select("array", current.cast("double").alias("old_value")).join(best, "array", "left")
+    return d.select("array", F.lit(param).alias("param"), "old_value", F.coalesce("best", "old_value").alias("new_value"), F.col("best").isNull().alias("retained"))
+
+
+def applied(profiles: DataFrame, proposed: DataFrame, field: str) -> DataFrame:
+    """Profiles (array_id, thresholds_json, ...) with the proposals that change
+    something written into thresholds_json; other keys stay."""
+    p = proposed.filter("not retained and new_value <> old_value").select(F.col("array").alias("array_id"), "new_value")
+    kept = F.from_json("thresholds_json", "map<string,string>")
+    merged = F.map_concat(F.map_filter(F.coalesce(kept, F.create_map().cast("map<string,string>")), lambda k, _: k != field), F.create_map(F.lit(field), F.col("new_value").cast("string")))
+    return profiles.join(p, "array_id", "left").withColumn("thresholds_json", F.when(F.col("new_value").isNotNull(), F.to_json(merged)).otherwise(F.col("thresholds_json"))).drop("new_value")
 
 
 def curves(profiles: DataFrame) -> DataFrame:
@@ -132,10 +192,11 @@ def curves(profiles: DataFrame) -> DataFrame:
 
 
 def snr50(steps: DataFrame) -> DataFrame:
-    """array_id, updated, snr50: where the recall first crosses one half, by
-    linear interpolation between steps; no row for curves that never do."""
+    """array_id, updated, snr50: where the recall first crosses one half, up or
+    down (a step at one half counts), by linear interpolation between steps
+    that differ; no row for curves that never do."""
     order = Window.partitionBy("array_id", "updated").orderBy("snr")
-    d = steps.withColumn("s2", F.lead("snr").over(order)).withColumn("r2", F.lead("recall").over(order)).filter("recall < 0.5 and r2 >= 0.5")
+    d = steps.withColumn("s2", F.lead("snr").over(order)).withColumn("r2", F.lead("recall").over(order)).filter("(recall - 0.5) * (r2 - 0.5) <= 0 and recall <> r2")
     at = F.col("snr") + (0.5 - F.col("recall")) / (F.col("r2") - F.col("recall")) * (F.col("s2") - F.col("snr"))
     return d.groupBy("array_id", "updated").agg(F.min_by(at, "snr").alias("snr50"))
 
@@ -148,12 +209,18 @@ def falling(steps: DataFrame) -> DataFrame:
     return d.withColumn("next_high", F.lead("high").over(order)).filter("next_high < low").select("array_id", "updated", "snr")
 
 
-def calibration_choice(flips: DataFrame, candidates: tuple[float, ...]) -> DataFrame:
+def calibration_choice(flips: DataFrame, candidates: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """The first candidate, in the given order, that flips rows but none from
-    confirmed; no row if there is none."""
+    confirmed (of each of `keys`); no row if there is none."""
     place = F.array_position(F.array(*map(F.lit, candidates)), F.col("candidate"))
-    per = flips.groupBy("candidate").agg(F.sum("n").alias("flips"), F.sum(F.when(F.col("from_verdict") == PRIORITY[0], F.col("n")).otherwise(0)).alias("lost")).filter("lost = 0").withColumn("_p", place)
-    return per.agg(F.min(F.struct("_p", "candidate", "flips")).alias("b")).filter("b is not null").select("b.candidate", "b.flips")
+    per = flips.groupBy(*keys, "candidate").agg(F.sum("n").alias("flips"), F.sum(F.when(F.col("from_verdict") == PRIORITY[0], F.col("n")).otherwise(0)).alias("lost")).filter("lost = 0").withColumn("_p", place)
+    return per.groupBy(*keys).agg(F.min(F.struct("_p", "candidate", "flips")).alias("b")).filter("b is not null").select(*keys, "b.candidate", "b.flips")
+
+
+def pipeline_margin(aperture_m: Column, v_min: float = 1500.0) -> Column:
+    """Seconds that a window needs on each side of an event, so that no shift of
+    the slant stack leaves it."""
+    return aperture_m / v_min + 1
 
 
 def overlay(ledger: DataFrame, arrays: DataFrame) -> DataFrame:

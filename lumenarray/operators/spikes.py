@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenarray.operators.ordered import numbered
+from lumenarray.session import cut
 
 THRESHOLD = 6.0  # of the standardised innovation
 MEMORY = 64  # readings a forecast looks back on
@@ -130,7 +131,7 @@ def implausible(readings: DataFrame, segment_rows: int = SEGMENT_ROWS, threshold
     by = ["source", "field"]
     r = readings.select(*by, "key", "at", "reading", "ok").filter("reading is not null and source is not null and field is not null and at is not null")
     r = r.withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn("y", F.when(F.col("ok") & (F.col("reading") > 0), F.ln("reading")))
-    d = numbered(r, by, "at", ["at", "key", "reading"], into="place")
+    d = cut(numbered(cut(r), by, "at", ["at", "key", "reading"], into="place"))
     part = lambda c: F.floor(c / segment_rows)
     segments = F.sequence(F.greatest(part(F.col("place") - (STUCK_RUN - 1)), F.lit(0)), part(F.col("place") + MEMORY))
     spread = d.withColumn("segment", F.explode(segments)).withColumn("own", F.col("segment") == part(F.col("place")))

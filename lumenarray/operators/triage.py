@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenarray.sources.waveforms import by_channel
+from lumenarray.operators.ordered import numbered, previous_in_order
+from lumenarray.session import cut
+from lumenarray.sources.waveforms import as_chunks, by_stretch, finite, haloed, within
 
 
 @dataclass(frozen=True)
@@ -31,22 +36,71 @@ class Tier0:
 
 
 def trailing_mean(cells: DataFrame, width: int, into: str = "mean") -> DataFrame:
-    """Mean of the last `width` samples (fewer at the start), by prefix sums:
-    one running sum and a look-back, whatever the width."""
-    d = cells.withColumn("_c", F.sum("a").over(by_channel().rowsBetween(Window.unboundedPreceding, 0)))
+    """Mean of the last `width` samples (fewer at the start), by prefix sums
+    within stretches of a channel: one running sum and a look-back each,
+    whatever the width."""
+    d = haloed(cells, width, 0).withColumn("_c", F.sum("a").over(by_stretch().rowsBetween(Window.unboundedPreceding, 0)))
     n = F.least(F.col("i") + 1, F.lit(width))
-    return d.withColumn(into, (F.col("_c") - F.coalesce(F.lag("_c", width).over(by_channel()), F.lit(0))) / n).drop("_c")
+    return d.withColumn(into, (F.col("_c") - F.coalesce(F.lag("_c", width).over(by_stretch()), F.lit(0))) / n).filter("_own").drop("_c", "_s", "_own")
+
+
+def energy_ratios(samples: np.ndarray, lead: np.ndarray, first: np.ndarray, scale: np.ndarray, cfg: Tier0) -> np.ndarray:
+    """Ratios of rows of samples, each led by the cfg.warm samples before (0
+    where there are none). first: place of each row's first sample in its
+    channel; scale: the array's greatest size, 0 if it has no energy to speak of."""
+    p = np.concatenate([lead, samples], axis=1).astype(np.float64)
+    np.square(p, out=p)
+    c = np.zeros((p.shape[0], p.shape[1] + 1))
+    np.cumsum(p, axis=1, out=c[:, 1:])
+    w, n = cfg.warm, samples.shape[1]
+    at = lambda back: c[:, w + 1 - back : w + 1 - back + n]
+    delay = cfg.sta + cfg.gap
+    ratio = (at(0) - at(cfg.sta)) / cfg.sta
+    long = (at(delay) - at(delay + cfg.lta)) / cfg.lta
+    long += 1e-12 * (scale * scale)[:, None]  # as of samples brought to a greatest size of 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio /= long
+    ratio[(first[:, None] + np.arange(n) < w) | (scale[:, None] == 0)] = 1.0
+    return ratio
 
 
-def sta_lta(cells: DataFrame, cfg: Tier0 = Tier0()) -> DataFrame:
+def sta_lta(waves: DataFrame, cfg: Tier0 = Tier0(), above: float | None = None) -> DataFrame:
     """arr, ch, i, ratio: short-term over delayed long-term mean energy; 1 while
-    warming up. Samples are whole numbers, so the sums are exact."""
-    d = cells.withColumn("_c", F.sum(F.col("a") * F.col("a")).over(by_channel().rowsBetween(Window.unboundedPreceding, 0)))
-    back = lambda n: F.coalesce(F.lag("_c", n).over(by_channel()), F.lit(0))
-    delay = cfg.sta + cfg.gap
-    short = (F.col("_c") - back(cfg.sta)) / cfg.sta
-    long = (back(delay) - back(delay + cfg.lta)) / cfg.lta
-    return d.select("arr", "ch", "i", F.when(F.col("i") < cfg.warm, 1.0).otherwise(short / (long + 1e-12)).alias("ratio"))
+    warming up, and throughout an array that is silent or holds a value that
+    is not finite. waves: cells or chunks, whose size must be cfg.warm at
+    least. above: only ratios above it.
+
+    Chunks get the end of the one before as a lead-in; sums run within a
+    chunk, in Arrow batches of many channels at once.
+    """
+    chunks = as_chunks(waves).select("arr", "ch", "i0", F.col("samples").cast("array<double>").alias("samples"))
+    size = F.aggregate("samples", F.lit(0.0), lambda s, x: F.greatest(s, F.coalesce(F.abs(finite(x)), F.lit(float("inf")))))
+    scale = chunks.groupBy("arr").agg(F.max(size).alias("scale")).select("arr", F.when(F.col("scale") < float("inf"), F.col("scale")).otherwise(0.0).alias("scale"))
+    tail = F.slice("samples", F.greatest(F.size("samples") - cfg.warm + 1, F.lit(1)), F.lit(cfg.warm))
+    d = chunks.withColumn("_tail", tail).withColumn("_end", F.col("i0") + F.size("samples"))
+    d = previous_in_order(d, ["arr", "ch"], ["i0"], F.floor(F.col("i0") / (1 << 20)), ["_tail", "_end"])
+    lead = F.when(F.col("prev._end") == F.col("i0"), F.col("prev._tail"))
+    d = d.select("arr", "ch", "i0", "samples", lead.alias("lead")).join(scale, "arr")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            arr, ch, i0, scale = (b.column(c).to_numpy() for c in ("arr", "ch", "i0", "scale"))
+            values, offsets = b.column("samples").values.to_numpy(), b.column("samples").offsets.to_numpy()
+            length = np.diff(offsets)
+            leads = np.zeros((len(arr), cfg.warm))
+            led, held = b.column("lead").offsets.to_numpy(), b.column("lead").values.to_numpy()
+            for k in np.flatnonzero(np.diff(led)).tolist():
+                leads[k, cfg.warm - (led[k + 1] - led[k]) :] = held[led[k] : led[k + 1]]
+            for n in np.unique(length).tolist():
+                for rows in np.array_split(np.flatnonzero(length == n), max(1, int((length == n).sum()) * max(n, 1) // 4_000_000)):
+                    if not n or not len(rows):
+                        continue
+                    x = values[offsets[rows][:, None] + np.arange(n)]
+                    ratio = energy_ratios(x, leads[rows], i0[rows], scale[rows], cfg)
+                    r, i = np.nonzero(ratio > above) if above is not None else (a.ravel() for a in np.indices(ratio.shape))
+                    yield pa.RecordBatch.from_arrays([pa.array(arr[rows][r]), pa.array(ch[rows][r]), pa.array((i0[rows][r] + i).astype(np.int32)), pa.array(ratio[r, i])], ["arr", "ch", "i", "ratio"])
+
+    return d.select("arr", "ch", "i0", "scale", "lead", "samples").mapInArrow(run, "arr bigint, ch int, i int, ratio double")
 
 
 def raster(ratio: DataFrame, cfg: Tier0 = Tier0()) -> DataFrame:
@@ -54,11 +108,18 @@ def raster(ratio: DataFrame, cfg: Tier0 = Tier0()) -> DataFrame:
     return ratio.filter(F.col("ratio") > cfg.threshold)
 
 
-def islands(points: DataFrame, keys: list[str], merge: int, into: str = "run") -> DataFrame:
-    """Number runs of `i` by key: a new one where more than `merge` are missing."""
-    order = Window.partitionBy(*keys).orderBy("i")
-    new = (F.col("i") - F.lag("i").over(order) - 1 > merge).cast("int")
-    return points.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn(into, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def islands(points: DataFrame, keys: list[str], merge: int, into: str = "run", width: int = 1 << 16) -> DataFrame:
+    """Runs of `i` by key, a new one where more than `merge` are missing, named
+    by where they begin. Ordered within stretches of time; a run that goes on
+    in the next is carried over."""
+    d = previous_in_order(points, keys, ["i"], F.floor(F.col("i") / width), ["i"])
+    new = F.col("prev").isNull() | (F.col("i") - F.col("prev.i") - 1 > merge)
+    d = d.withColumn("_from", F.when(new, F.col("i"))).withColumn("_k", F.floor(F.col("i") / width)).drop("prev")
+    last = d.groupBy(*keys, "_k").agg(F.max("_from").alias("_last"))
+    up = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "_k", F.last("_last", ignorenulls=True).over(up).alias("_carried"))
+    here = F.last("_from", ignorenulls=True).over(Window.partitionBy(*keys, "_k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("_here", here).join(carried, [*keys, "_k"]).withColumn(into, F.coalesce("_here", "_carried")).drop("_from", "_k", "_here", "_carried")
 
 
 def merge_runs(fired: DataFrame, cfg: Tier0 = Tier0()) -> DataFrame:
@@ -71,14 +132,14 @@ def merge_runs(fired: DataFrame, cfg: Tier0 = Tier0()) -> DataFrame:
 def resegmented(fired: DataFrame, cfg: Tier0 = Tier0()) -> DataFrame:
     """merge_runs with over-long runs cut to their stretches of dense firing; a
     run without any stays whole. arr, i_from, i_to, numbered (seg) in order."""
-    runs = merge_runs(fired, cfg)
+    runs = cut(merge_runs(fired, cfg))  # few; the steps below read them several times
     long = F.col("i_to") - F.col("i_from") + 1 > cfg.longest
     times = fired.groupBy("arr", "i").agg(F.count_distinct("ch").alias("n")).filter(F.col("n") >= cfg.dense)
-    inside = times.join(runs.filter(long), "arr").filter("i between i_from and i_to").select("arr", "run", "i")
-    dense = islands(inside, ["arr", "run"], cfg.merge, "part").groupBy("arr", "run", "part").agg(F.min("i").alias("i_from"), F.max("i").alias("i_to"))
+    inside = within(times, runs.filter(long), F.col("i_from"), F.col("i_to")).select("arr", "run", "i")
+    dense = cut(islands(inside, ["arr", "run"], cfg.merge, "part").groupBy("arr", "run", "part").agg(F.min("i").alias("i_from"), F.max("i").alias("i_to")))
     kept = runs.filter(~long).unionByName(runs.filter(long).join(dense.select("arr", "run").distinct(), ["arr", "run"], "left_anti"))
-    out = kept.select("arr", "i_from", "i_to").unionByName(dense.select("arr", "i_from", "i_to"))
-    return out.withColumn("seg", (F.row_number().over(Window.partitionBy("arr").orderBy("i_from")) - 1).cast("int"))
+    out = cut(kept.select("arr", "i_from", "i_to").unionByName(dense.select("arr", "i_from", "i_to")))
+    return numbered(out, ["arr"], "i_from", ["i_from"], "seg", slice_s=1 << 20).withColumn("seg", F.col("seg").cast("int"))
 
 
 def extract_events(fired: DataFrame, cfg: Tier0 = Tier0()) -> DataFrame:
@@ -86,17 +147,17 @@ def extract_events(fired: DataFrame, cfg: Tier0 = Tier0()) -> DataFrame:
     their own firing, long enough again.
 
     arr, event_id, i_from, i_to, ch_min, ch_max, n_ch, peak. Ordinals in
-    event_id count dropped segments and groups too.
+    event_id count dropped segments and groups too. fired should be a stored
+    table (or cut), as several branches read it.
     """
     seg = resegmented(fired, cfg).filter(F.col("i_to") - F.col("i_from") + 1 >= cfg.least)
-    cell = fired.join(seg, "arr").filter("i between i_from and i_to").select("arr", "seg", F.col("i_from").alias("seg_from"), "ch", "i", "ratio")
-    chans = cell.select("arr", "seg", "ch").distinct()
+    cell = within(fired, seg, F.col("i_from"), F.col("i_to")).select("arr", "seg", F.col("i_from").alias("seg_from"), "ch", "i", "ratio")
+    per = cell.groupBy("arr", "seg", "seg_from", "ch").agg(F.min("i").alias("i_from"), F.max("i").alias("i_to"), F.max("ratio").alias("peak"))
     order = Window.partitionBy("arr", "seg").orderBy("ch")
     apart = F.coalesce((F.col("ch") - F.lag("ch").over(order) > cfg.split).cast("int"), F.lit(0))
-    groups = chans.withColumn("_n", apart).withColumn("grp", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_n")
-    groups = groups.withColumn("n_grp", F.max("grp").over(Window.partitionBy("arr", "seg")) + 1)
-    ev = cell.join(groups, ["arr", "seg", "ch"]).groupBy("arr", "seg", "seg_from", "grp", "n_grp").agg(
-        F.min("i").alias("i_from"), F.max("i").alias("i_to"), F.min("ch").alias("ch_min"), F.max("ch").alias("ch_max"), F.count_distinct("ch").alias("n_ch"), F.max("ratio").alias("peak")
+    groups = per.withColumn("_n", apart).withColumn("grp", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).withColumn("n_grp", F.sum("_n").over(Window.partitionBy("arr", "seg")) + 1)
+    ev = groups.groupBy("arr", "seg", "seg_from", "grp", "n_grp").agg(
+        F.min("i_from").alias("i_from"), F.max("i_to").alias("i_to"), F.min("ch").alias("ch_min"), F.max("ch").alias("ch_max"), F.count("*").alias("n_ch"), F.max("peak").alias("peak")
     ).filter(F.col("i_to") - F.col("i_from") + 1 >= cfg.least)
     name = F.concat(F.format_string("evt_%04d_%d", "seg", "seg_from"), F.when(F.col("n_grp") > 1, F.format_string("_%d", "grp")).otherwise(""))
     return ev.select("arr", name.alias("event_id"), "i_from", "i_to", "ch_min", "ch_max", "n_ch", "peak")

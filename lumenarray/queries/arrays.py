@@ -14,8 +14,12 @@ from lumenarray.sources import waveforms
 from lumenarray.session import cut, table
 
 
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return waveforms.grid_chunks(table(spark, d, "events"))
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    return waveforms.grid(table(spark, d, "events"))
+    return waveforms.cells_of(chunks(spark, d))
 
 
 def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -65,7 +69,12 @@ def smoothed(spark, d):
 
 
 def ratio_of(spark, d):
-    return triage.sta_lta(cells(spark, d))
+    return triage.sta_lta(chunks(spark, d))
+
+
+def fired_of(spark, d, threshold: float = triage.Tier0.threshold):
+    """The firing cells, made once: they are few, and every later step reads them."""
+    return cut(triage.sta_lta(chunks(spark, d), above=threshold))
 
 
 def sta_lta(spark, d):
@@ -73,19 +82,19 @@ def sta_lta(spark, d):
 
 
 def trigger_raster(spark, d):
-    return triage.raster(ratio_of(spark, d)).select("arr", "ch", "i")
+    return triage.sta_lta(chunks(spark, d), above=triage.Tier0.threshold).select("arr", "ch", "i")
 
 
 def merge_runs(spark, d):
-    return triage.merge_runs(triage.raster(ratio_of(spark, d))).select("arr", "i_from", "i_to")
+    return triage.merge_runs(fired_of(spark, d)).select("arr", "i_from", "i_to")
 
 
 def density_resegment(spark, d):
-    return triage.resegmented(triage.raster(ratio_of(spark, d)))
+    return triage.resegmented(fired_of(spark, d))
 
 
 def extract_events(spark, d):
-    return _rounded(triage.extract_events(triage.raster(ratio_of(spark, d))), "peak")
+    return _rounded(triage.extract_events(fired_of(spark, d)), "peak")
 
 
 def reduction_stats(spark, d):
@@ -93,57 +102,55 @@ def reduction_stats(spark, d):
 
 
 def _parts(spark, d):
-    """Cells, ratio, firing cells and events; the last two, small and used by
-    several branches of one plan, are made once."""
-    c = cells(spark, d)
-    r = triage.sta_lta(c)
-    fired = cut(triage.raster(r))
-    return c, r, fired, cut(triage.extract_events(fired))
+    """Chunks, firing cells and events; the last two, small and used by several
+    branches of one plan, are made once."""
+    fired = fired_of(spark, d)
+    return chunks(spark, d), fired, cut(triage.extract_events(fired))
 
 
 def coincidence(spark, d):
-    c, _, fired, ev = _parts(spark, d)
+    c, fired, ev = _parts(spark, d)
     return _rounded(coherence.coincidence(ev, fired, c.groupBy("arr").agg(F.count_distinct("ch").alias("n_all"))), "f_c")
 
 
 def span_fraction(spark, d):
-    c, _, _, ev = _parts(spark, d)
+    c, _, ev = _parts(spark, d)
     return _rounded(coherence.span_fraction(ev, c.groupBy("arr").agg(F.count_distinct("ch").alias("n_all"))).select("arr", "event_id", "span"), "span")
 
 
 def track_speed(spark, d):
-    _, r, _, ev = _parts(spark, d)
-    return _rounded(coherence.track_speed(ev, r), "speed", "r2", digits=4)
+    _, fired, ev = _parts(spark, d)
+    return _rounded(coherence.track_speed(ev, fired), "speed", "r2", digits=4)
 
 
 def onset_theil_sen(spark, d):
-    _, _, fired, ev = _parts(spark, d)
+    _, fired, ev = _parts(spark, d)
     return _rounded(coherence.onset_velocity(ev, fired), "v_onset", "r2")
 
 
 def semblance_curve(spark, d):
-    c, _, _, ev = _parts(spark, d)
-    return _rounded(coherence.semblance(ev, c), "semblance")
+    c, _, ev = _parts(spark, d)
+    return _rounded(coherence.semblance(coherence.stacked(ev, c)), "p", "semblance")
 
 
 def velocity_peak(spark, d):
-    c, _, _, ev = _parts(spark, d)
-    return _rounded(coherence.velocity_peak(coherence.semblance(ev, c)), "semblance", "v")
+    c, _, ev = _parts(spark, d)
+    return _rounded(coherence.stacked(ev, c).select("arr", "event_id", "k", "p", "semblance", "boundary", "v"), "p", "semblance", "v")
 
 
 def coherent_channels(spark, d):
-    c, _, _, ev = _parts(spark, d)
-    return coherence.coherent_channels(ev, c, coherence.velocity_peak(coherence.semblance(ev, c)))
+    c, _, ev = _parts(spark, d)
+    return coherence.stacked(ev, c).select("arr", "event_id", "n_coherent")
 
 
 def verdicts(spark, d):
-    c, r, fired, ev = _parts(spark, d)
-    v = coherence.verdicts(coherence.measured(ev, c, r, fired))
-    return _rounded(v, "v", "semblance", "f_c", "span", "speed", "v_onset", digits=4).drop("explanations")
+    c, fired, ev = _parts(spark, d)
+    v = coherence.verdicts(coherence.measured(ev, c, fired))
+    return _rounded(v, "v", "semblance", "f_c", "span", "speed", "v_onset", digits=4).drop("explanations", "boundary", "r2", "onset_r2", "t_p", "t_s")
 
 
 def observed_snr(spark, d):
-    c, _, _, ev = _parts(spark, d)
+    c, _, ev = _parts(spark, d)
     return _rounded(coherence.observed_snr(ev, c), "snr")
 
 
@@ -156,8 +163,8 @@ def injected_recall(spark, d):
 
 
 def event_windows(spark, d):
-    c, _, _, ev = _parts(spark, d)
-    w = coherence.event_window(ev, c, 6)
+    c, _, ev = _parts(spark, d)
+    w = coherence.event_window(ev, c)
     return w.groupBy("arr", "event_id").agg(F.count("*").alias("n"), F.sum("a").alias("total"), F.max("x").alias("last_x"))
 
 
@@ -184,8 +191,10 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 GRID = """
-sums as (select user_id, cast(floor(epoch(ts) / 21600.0 - epoch(timestamp '2024-01-01') / 21600.0) as int) as i, cast(sum(cast(round(value * 100) as bigint)) as bigint) as v from events where user_id is not null and ts is not null group by all),
-cells as (select u.user_id // 15 as arr, cast(u.user_id % 15 as int) as ch, cast(r.i as int) as i, coalesce(s.v, 0) as a from (select distinct user_id from events where user_id is not null and ts is not null) u cross join range(120) r(i) left join sums s on s.user_id = u.user_id and s.i = r.i)
+happened as (select user_id, value, cast(floor(epoch(ts) / 21600.0) as bigint) as bin from events where user_id is not null and ts is not null),
+lim as (select min(bin) as lo, max(bin) as hi from happened),
+sums as (select user_id, cast(bin - lo as int) as i, cast(coalesce(sum(cast(round(value * 100) as bigint)), 0) as bigint) as v from happened, lim group by all),
+cells as (select u.user_id // 15 as arr, cast(u.user_id % 15 as int) as ch, cast(r.i as int) as i, coalesce(s.v, 0) as a from (select distinct user_id from happened) u cross join (select unnest(range(0, hi - lo + 1)) as i from lim) r left join sums s on s.user_id = u.user_id and s.i = r.i)
 """
 _SNR = "levels(k, snr) as (values (0, 1.0), (1, 2.0), (2, 3.0), (3, 5.0), (4, 8.0), (5, 12.0), (6, 20.0)), wav(j, w) as (values (0, 1), (1, 2), (2, -3), (3, 5), (4, -3), (5, 2), (6, 1))"
 INJECTED = GRID.replace("cells as (", "base as (") + f""",
@@ -197,7 +206,8 @@ cells as (select t.arr * 7 + t.k as arr, b.ch, b.i, b.a + coalesce(cast(round(t.
 RATIO = GRID + """,
 run as (select *, cast(sum(a * a) over (partition by arr, ch order by i) as double) as c from cells),
 backs as (select *, coalesce(lag(c, 3) over w, 0) as c3, coalesce(lag(c, 5) over w, 0) as c5, coalesce(lag(c, 29) over w, 0) as c29 from run window w as (partition by arr, ch order by i)),
-ratio as (select arr, ch, i, case when i < 29 then 1.0 else ((c - c3) / 3) / ((c5 - c29) / 24 + 1e-12) end as ratio from backs),
+greatest_size as (select arr, cast(max(abs(a)) as double) as m from cells group by arr),
+ratio as (select arr, ch, i, case when i < 29 or m = 0 then 1.0 else ((c - c3) / 3) / ((c5 - c29) / 24 + 1e-12 * m * m) end as ratio from backs join greatest_size using (arr)),
 fired as (select * from ratio where ratio > 4)
 """
 SEGMENTS = RATIO + """,
@@ -218,17 +228,29 @@ evts as (select arr, 'evt_' || lpad(cast(seg as varchar), 4, '0') || '_' || seg_
   from hit join grps using (arr, seg, ch) join ngrp using (arr, seg) group by arr, seg, seg_from, grp, n_grp having max(i) - min(i) + 1 >= 2),
 nall as (select arr, count(distinct ch) as n_all from cells group by all)
 """
-CURVE = EVENTS + """,
-slow(k, p) as (values (0, -3.0), (1, -2.0), (2, -1.0), (3, -0.5), (4, 0.5), (5, 1.0), (6, 2.0), (7, 3.0)),
-win as (select e.arr, e.event_id, e.i_from, e.i_to, c.ch - e.ch_min as x, c.i, c.a from evts e join cells c on e.arr = c.arr and c.ch between e.ch_min and e.ch_max and c.i between e.i_from - 6 and e.i_to + 6),
-shifted as (select arr, event_id, k, cast(p as double) as p, x, i - cast(round_even(p * x, 0) as int) as t, a, i_from, i_to from win cross join slow),
-core as (select arr, event_id, k, p, x, t, a - avg(a) over (partition by arr, event_id, k, x) as g from shifted where t between i_from and i_to),
-curve as (select arr, event_id, k, p, sum(s * s) / (max(n) * sum(q) + 1e-20) as semblance from (select arr, event_id, k, p, t, sum(g) as s, sum(g * g) as q, count(*) as n from core group by all) group by all),
+_KERNEL = "case when {m} = 0 then 0 else (cos(pi() * {m} / {n}) - case when {n} % 2 = 0 then cos(pi() * {m}) * cos(pi() * {m} / {n}) else cos(pi() * {m}) end) / sin(pi() * {m} / {n}) / {n} end"
+WINDOWS = EVENTS + """,
+ends as (select arr, max(i) as last_i from cells group by arr),
+spans as (select *, cast(ceil(3.0 * (ch_max - ch_min)) as int) + 6 as margin from evts),
+bounds as (select s.*, greatest(i_from - margin, 0) as lo, least(i_to + margin, last_i) as hi from spans s join ends using (arr)),
+sized as (select *, hi - lo + 1 as n, greatest(1, least(margin, (hi - lo + 1 - 3) // 2)) as eff from bounds),
+win as (select e.arr, e.event_id, e.lo, e.hi, e.n, e.eff, c.ch - e.ch_min as x, c.i, c.a from sized e join cells c on e.arr = c.arr and c.ch between e.ch_min and e.ch_max and c.i between e.lo and e.hi)
+"""
+CURVE = WINDOWS + """,
+steps as (select range as j from range(36)),
+slow as (select j as k, -1 / (1 / 3.0::double * power(6.0::double, j / 35.0)) as p from steps union all select 71 - j, 1 / (1 / 3.0::double * power(6.0::double, j / 35.0)) from steps),
+env as (select t.arr, t.event_id, t.lo, t.hi, t.n, t.eff, t.x, t.i, sqrt(power(any_value(t.a), 2) + power(sum(u.a * (""" + _KERNEL.format(m="(t.i - u.i)::double", n="t.n") + """)), 2)) as e
+  from win t join win u on t.arr = u.arr and t.event_id = u.event_id and t.x = u.x group by all),
+centred as (select *, e - avg(case when i between lo + eff and hi - eff then e end) over (partition by arr, event_id, x) as g from env),
+places as (select c.arr, c.event_id, c.x, c.i as t, s.k, s.p, least(greatest(c.i + cast(round_even(s.p * c.x, 0) as int), c.lo), c.hi) as j from centred c cross join slow s where c.i between c.lo + c.eff and c.hi - c.eff),
+shifted as (select p.*, c.g, c.e from places p join centred c on p.arr = c.arr and p.event_id = c.event_id and p.x = c.x and p.j = c.i),
+curve as (select arr, event_id, k, p, sum(s * s) / (max(n) * sum(q) + 1e-20) as semblance from (select arr, event_id, k, p, t, sum(g) as s, sum(g * g) as q, count(*) as n from shifted group by all) group by all),
 peaks as (
-  select arr, event_id, k, p, s as semblance, coalesce(not (s > l and s > r), true) as boundary, 1 / p as v from (
+  select arr, event_id, k, p, least(1.0, greatest(0.0, s)) as semblance, coalesce(not (s > l and s > r), true) as boundary, 1 / p as v from (
     select *, lag(s) over b as l, lead(s) over b as r, row_number() over (partition by arr, event_id order by s desc, k) as best from (select *, round(semblance, 9) as s from curve) window b as (partition by arr, event_id, sign(p) order by k)) where best = 1),
-beam as (select arr, event_id, t, avg(g) as b from core join peaks using (arr, event_id, k) group by all),
-corr as (select arr, event_id, x, sum(g * b) / (sqrt(sum(g * g) * sum(b * b)) + 1e-12) as r from core join peaks using (arr, event_id, k) join beam using (arr, event_id, t) group by all),
+core as (select arr, event_id, x, t, e - avg(e) over (partition by arr, event_id, x) as g from shifted join peaks using (arr, event_id, k)),
+beam as (select arr, event_id, t, avg(g) as b from core group by all),
+corr as (select arr, event_id, x, sum(g * b) / ((sqrt(sum(g * g)) + 1e-12) * (sqrt(sum(b * b)) + 1e-12)) as r from core join beam using (arr, event_id, t) group by all),
 coh as (select arr, event_id, cast(sum(case when round(r, 9) > 0.3 then 1 else 0 end) as bigint) as n_coherent from corr group by all)
 """
 TRACK = """,
@@ -247,6 +269,7 @@ coin as (select arr, event_id, max(m) / cast(greatest(count(*), 10, floor(max(n_
 WILSON_LOW = "case when {n} = 0 then 0 else greatest(0, ({k}/{n} + 3.841458820694124/(2*{n}) - 1.959963984540054*sqrt({k}/{n}*(1-{k}/{n})/{n} + 3.841458820694124/(4*{n}*{n}))) / (1 + 3.841458820694124/{n})) end"
 WILSON_HIGH = "case when {n} = 0 then 1 else least(1, ({k}/{n} + 3.841458820694124/(2*{n}) + 1.959963984540054*sqrt({k}/{n}*(1-{k}/{n})/{n} + 3.841458820694124/(4*{n}*{n}))) / (1 + 3.841458820694124/{n})) end"
 
+_WINS = ", wins as (select arr, unnest(range(0, cast(floor((max(i) + 1 - 40) / 20.0) as bigint) + 1)) as w from cells group by arr)"
 SQL = {
     "signal_grid": f"with {GRID} select * from cells",
     "oriented": f"with {GRID} select arr, i as ch, ch as i, a from cells",
@@ -268,8 +291,8 @@ SQL = {
     "span_fraction": f"with {EVENTS} select arr, event_id, round((ch_max - ch_min + 1) / n_all, 6) as span from evts join nall using (arr)",
     "track_speed": f"with {EVENTS} {TRACK} select arr, event_id, round(speed, 4) as speed, round(r2, 4) as r2 from track",
     "onset_theil_sen": f"with {EVENTS} {TRACK} select arr, event_id, round(v_onset, 6) as v_onset, round(r2, 6) as r2 from onset",
-    "semblance_curve": f"with {CURVE} select arr, event_id, k, p, round(semblance, 6) as semblance from curve",
-    "velocity_peak": f"with {CURVE} select arr, event_id, k, p, round(semblance, 6) as semblance, boundary, round(v, 6) as v from peaks",
+    "semblance_curve": f"with {CURVE} select arr, event_id, k, round(p, 6) as p, round(semblance, 6) as semblance from curve",
+    "velocity_peak": f"with {CURVE} select arr, event_id, k, round(p, 6) as p, round(semblance, 6) as semblance, boundary, round(v, 6) as v from peaks",
     "coherent_channels": f"with {CURVE} select * from coh",
     "verdicts": f"with {CURVE} {TRACK}" + """,
 m as (select e.arr, e.event_id, e.n_ch, (e.ch_max - e.ch_min + 1) / n_all as span, f_c, p.v, p.semblance, p.boundary, o.v_onset, t.speed, t.r2, c.n_coherent, e.i_to - e.i_from + 1 as dur
@@ -286,19 +309,22 @@ select arr, event_id, classification, case when classification <> 'INCOHERENTE_L
 select arr, event_id, round(median(s) / median(n), 6) as snr from per group by all having median(n) > 0""",
     "injected_waves": f"with {INJECTED} select * from cells",
     "injected_recall": "with " + EVENTS.replace(GRID, INJECTED) + ", res as (select t.k, t.snr, count(*) as n, count_if(exists (select 1 from evts e where e.arr = t.arr * 7 + t.k and t.t0 between e.i_from - 3 and e.i_to + 3)) as hits from trials t group by all) select snr, n, hits, round(hits / n, 6) as recall, round(" + WILSON_LOW.format(k="hits", n="n") + ", 6) as low, round(" + WILSON_HIGH.format(k="hits", n="n") + ", 6) as high from res",
-    "event_windows": f"with {CURVE} select arr, event_id, count(*) as n, cast(sum(a) as bigint) as total, max(x) as last_x from win group by all",
+    "event_windows": f"with {WINDOWS} select arr, event_id, count(*) as n, cast(sum(a) as bigint) as total, max(x) as last_x from win group by all",
     "concatenated": f"with {GRID}, two as (select arr // 2 as arr, ch, i, a, arr % 2 as f from cells), len as (select arr, f, max(i) + 1 as n from two group by all), off as (select arr, f, coalesce(sum(n) over (partition by arr order by f rows between unbounded preceding and 1 preceding), 0) as o from len) select arr, ch, cast(i + o as bigint) as i, a from two join off using (arr, f)",
-    "sliding_windows": f"with {GRID} select arr, cast(w.w as int) as win, count(*) as n, min(i) as i_from, max(i) as i_to from cells join range(0, 81, 20) s(i0) on i between i0 and i0 + 39, lateral (select i0 // 20 as w) w group by all",
+    "sliding_windows": f"with {GRID} {_WINS} select c.arr, cast(w as int) as win, count(*) as n, min(i) as i_from, max(i) as i_to from cells c join wins on wins.arr = c.arr and i between w * 20 and w * 20 + 39 group by all",
 }
-_GATHER = """,
-bits as (select arr, ch, i, sign(a) as b, w.w from cells join (select range as w from range(5)) w on i between w.w * 20 and w.w * 20 + 39),
+_GATHER = _WINS + """,
+bits as (select c.arr, ch, i, sign(a) as b, w from cells c join wins on wins.arr = c.arr and i between w * 20 and w * 20 + 39),
 dm as (select arr, w, ch, i, b - avg(b) over (partition by arr, w, ch) as y from bits),
 nm as (select arr, w, ch, i, y / (sqrt(sum(y * y) over (partition by arr, w, ch)) + 1e-12) as y from dm),
-ncf as (select c.arr, c.ch, l.lag, sum(r.y * c.y) / 5 as ncf from (select range as lag from range(-6, 7)) l join nm r on r.ch = 7 join nm c on c.arr = r.arr and c.w = r.w and c.i = r.i + l.lag group by all)
+nwin as (select arr, count(*) as n from wins group by arr),
+ncf as (select c.arr, c.ch, l.lag, sum(r.y * c.y) / any_value(n) as ncf from (select range as lag from range(-6, 7)) l join nm r on r.ch = 7 join nm c on c.arr = r.arr and c.w = r.w and c.i = r.i + l.lag join nwin on nwin.arr = c.arr group by all)
 """
 SQL["one_bit_xcorr"] = f"with {GRID} {_GATHER} select arr, ch, cast(lag as int) as lag, round(ncf, 6) as ncf from ncf"
 SQL["fold_and_fit"] = f"with {GRID} {_GATHER}" + """,
-folded as (select a.arr, a.ch, a.lag, round((a.ncf + b.ncf) / 2, 9) as f from ncf a join ncf b on a.arr = b.arr and a.ch = b.ch and b.lag = -a.lag where a.lag >= 1),
-best as (select arr, ch, abs(ch - 7) as o, lag as t, abs(f) as w from (select *, row_number() over (partition by arr, ch order by abs(f) desc, lag) as k from folded where ch <> 7) where k = 1),
-fit as (select arr, sum(w * o * t) / sum(w * t * t) as v, sum(w * o) / sum(w) as m from best group by all having count(*) >= 8 and sum(w * t * t) > 0)
-select arr, round(v, 4) as velocity, round(1 - sum(w * power(o - v * t, 2)) / (sum(w * power(o - m, 2)) + 1e-12), 4) as r2 from best join fit using (arr) group by arr, v, m"""
+folded as (select a.arr, a.ch, a.lag, (a.ncf + b.ncf) / 2 as f from ncf a join ncf b on a.arr = b.arr and a.ch = b.ch and b.lag = -a.lag where a.lag >= 0),
+env as (select t.arr, t.ch, t.lag, round(sqrt(power(any_value(t.f), 2) + power(sum(u.f * (""" + _KERNEL.format(m="(t.lag - u.lag)::double", n="7") + """)), 2)), 9) as e from folded t join folded u on t.arr = u.arr and t.ch = u.ch group by all),
+reach as (select *, abs(ch - 7) as o, greatest(0, floor(abs(ch - 7) / 4.0)) as ka, least(6, ceil(abs(ch - 7) / 0.5)) as kb from env where abs(ch - 7) between 1 and 7),
+best as (select arr, ch, o, lag as t, e as w from (select *, row_number() over (partition by arr, ch order by e desc, lag) as k from reach where kb - ka >= 2 and lag between ka and kb) where k = 1),
+fit as (select arr, sum(w * o * t) / (sum(w * t * t) + 1e-12) as v, sum(w * t) / sum(w) as m from best group by all having count(*) >= 8 and max(t) > 0)
+select arr, round(v, 4) as velocity, round(greatest(0.0, 1 - sum(w * power(t - o / greatest(v, 1e-9), 2)) / (sum(w * power(t - m, 2)) + 1e-12)), 4) as r2 from best join fit using (arr) group by arr, v, m"""

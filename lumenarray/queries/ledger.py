@@ -75,18 +75,17 @@ def best_candidate(spark, d):
     return _r(scoring.best_candidates(_candidates(spark, d)), "delay_s")
 
 
-def outcome_per_file(spark, d):
-    return scoring.outcomes(catalog.decoded(table(spark, d, "ledger")), scoring.best_candidates(_candidates(spark, d)))
-
-
 def outcome_per_file_whole(spark, d):
-    """As outcome_per_file; truth without an origin is answered by the verdict
-    with most channels of its file."""
+    """Truth without an origin is answered by the verdict with most channels of its file."""
     truth = catalog.decoded(table(spark, d, "ledger"))
     best = scoring.best_candidates(_candidates(spark, d)).select("event_file", "classification")
     return scoring.outcomes(truth, best.unionByName(scoring.loudest(truth, table(spark, d, "resultados")).select("event_file", "classification")))
 
 
+def outcome_per_file(spark, d):
+    return outcome_per_file_whole(spark, d)
+
+
 def outcome_matrix(spark, d):
     return _r(scoring.outcome_matrix(catalog.decoded(table(spark, d, "ledger"))), "rate", "low", "high")
 
@@ -117,8 +116,44 @@ def calibration_flips(spark, d):
     return scoring.calibration_flips(catalog.decoded(table(spark, d, "ledger")), BOUNDS)
 
 
+def _decoded_arrays(spark, d):
+    return with_array(catalog.decoded(table(spark, d, "ledger")), table(spark, d, "arrays"))
+
+
 def calibration_choice(spark, d):
-    return scoring.calibration_choice(calibration_flips(spark, d), BOUNDS)
+    return scoring.calibration_choice(scoring.calibration_flips(_decoded_arrays(spark, d), BOUNDS, ("array",)), BOUNDS, ("array",))
+
+
+def calibration_score(spark, d):
+    """Candidates for the least semblance against the outcomes on record."""
+    rows = _decoded_arrays(spark, d)
+    return scoring.sweep_scores(scoring.calibration_outcomes(rows, BOUNDS), rows.select("array", "event_file", "outcome"))
+
+
+def calibration_proposals(spark, d):
+    now = catalog.configured(catalog.merged_profiles(table(spark, d, "array_profiles")), table(spark, d, "arrays")).withColumnRenamed("array_id", "array")
+    return scoring.proposals(calibration_score(spark, d), now, "seismic_min_semblance", F.col("min_semblance"))
+
+
+def calibration_applied(spark, d):
+    """The profiles after the proposals: which bound each array has."""
+    p = catalog.merged_profiles(table(spark, d, "array_profiles")).select("array_id", "thresholds_json")
+    after = scoring.applied(p, calibration_proposals(spark, d), "seismic_min_semblance")
+    return after.select("array_id", F.get_json_object("thresholds_json", "$.seismic_min_semblance").try_cast("double").alias("min_semblance"))
+
+
+def pipeline_margin(spark, d):
+    return _r(table(spark, d, "arrays").select("array_id", scoring.pipeline_margin(F.col("aperture_m")).alias("margin_s")), "margin_s")
+
+
+def scoped_match(spark, d):
+    """Signatures against the prototypes of their own array, and the prototypes'
+    counts of events afterwards."""
+    c = table(spark, d, "unknown_clusters").filter("id is not null and size(vec) = 64 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(vec, x -> x <> 0)")
+    one = c.groupBy("id").agg(F.max_by(F.struct("n_events", "array_id", "vec"), F.struct("n_events", F.coalesce("last_seen", F.lit(float("-inf"))), "array_id", "vec")).alias("r")).select("id", "r.*")
+    protos = catalog.promoted(one, 5, F.col("array_id")).withColumn("array_id", F.col("label"))
+    got = catalog.nearest_prototype(one.select("id", "vec", "array_id"), protos.select("label", F.col("vec").alias("proto"), "array_id"), 0.85, "array_id")
+    return catalog.recounted(protos.select("label", "id", "n_events"), got)
 
 
 def recall_overlay(spark, d):
@@ -132,10 +167,6 @@ def quiet_stretches(spark, d):
     return _r(waveforms.quiet_stretches(long.join(at, "file", "left")), "from_s", "to_s", digits=3)
 
 
-def calibration_score(spark, d):
-    return scoring.calibration_scores(catalog.decoded(table(spark, d, "ledger")), BOUNDS)
-
-
 def recall_gauge(spark, d):
     now = with_array(current(table(spark, d, "ledger"), "outcome"), table(spark, d, "arrays"))
     return _r(now.filter("outcome in ('HIT', 'HONEST_UNKNOWN', 'HONEST_REGIONAL', 'MISS_SUPPRESSED', 'MISS_BELOW_FLOOR')").groupBy("array").agg(F.avg((F.col("outcome") == "HIT").cast("int")).alias("recall"), F.count("*").alias("n")), "recall")
@@ -157,7 +188,7 @@ def recall_falls(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     ledger_latest, ledger_decoded, ledger_invalidated, profile_merge, profile_config, profile_archive, resolvable_speed, nearest_prototype, promote, unpromoted, causal_match, best_candidate, outcome_per_file, outcome_per_file_whole,
-    outcome_matrix, array_outcomes, stale_hits, delay_anomalies, detectability, calibration_flips, calibration_choice, recall_overlay, quiet_stretches, calibration_score, recall_gauge, recall_curves, snr50, recall_falls,
+    outcome_matrix, array_outcomes, stale_hits, delay_anomalies, detectability, calibration_flips, calibration_choice, calibration_proposals, calibration_applied, pipeline_margin, scoped_match, recall_overlay, quiet_stretches, calibration_score, recall_gauge, recall_curves, snr50, recall_falls,
 )}
 
 DECODED = NOW + """,
@@ -186,7 +217,28 @@ merged as (select array_id, max(updated) as updated, max(case when k = 1 then fs
   arg_max(thresholds_json, (updated, snapshot_at)) filter (thresholds_json is not null) as thresholds_json, arg_max(synth_recall, (updated, snapshot_at)) filter (synth_recall is not null) as synth_recall, arg_max(snr50, (updated, snapshot_at)) filter (snr50 is not null) as snr50 from last group by array_id)"""
 _CLUSTERS = "c as (select id, max(n_events) as n_events, min(array_id) as array_id from unknown_clusters where id is not null group by id), named as (select array_id as label, id, n_events from (select *, row_number() over (partition by array_id order by n_events desc, id) as k from c where n_events >= 5 and array_id is not null) where k = 1)"
 
+_ANSWER = "case {k} when 'SISMO_CONFIRMADO' then 'HIT' when 'POSIBLE_REGIONAL_EMERGENTE' then 'HONEST_REGIONAL' when 'COHERENTE_DESCONOCIDO' then 'HONEST_UNKNOWN' else 'MISS_SUPPRESSED' end"
+_OUTCOME = f""", loud as (select file, classification from (select file, classification, row_number() over (partition by file order by coalesce(coherent_channels, 0) desc, case when not isnan(time_offset_s) then time_offset_s else cast('inf' as double) end nulls last, event_id, classification) as k from resultados where file is not null and event_id is not null) where k = 1)
+select d.event_file, case when magnitude is null and d.origin_ms is null then case when verdict = 'SISMO_CONFIRMADO' then 'FALSE_ALARM' else 'CORRECT_REJECTION' end when d.origin_ms is not null and b.classification is null then 'MISS_BELOW_FLOOR'
+  when d.origin_ms is not null then {_ANSWER.format(k="b.classification")} else {_ANSWER.format(k="l.classification")} end as outcome from dec d left join best b using (event_file) left join loud l on l.file = d.event_file"""
+_SCORES = f"""sim as (select arr, event_file, c::double as candidate, outcome as was, {_RECL.format(c='c')} as k, magnitude is not null or origin_ms is not null as known from dec cross join {_CANDS}),
+swept as (select *, case when known then {_ANSWER.format(k='k')} when k = 'SISMO_CONFIRMADO' then 'FALSE_ALARM' else 'CORRECT_REJECTION' end as outcome from sim where k is not null),
+counted as (select arr as array, candidate, count_if(was <> outcome) as changes, count_if(was = 'MISS_BELOW_FLOOR' and outcome in ('HIT', 'HONEST_REGIONAL', 'HONEST_UNKNOWN')) as improves, count_if(outcome in ('FALSE_ALARM', 'MISS_SUPPRESSED') and was not in ('FALSE_ALARM', 'MISS_SUPPRESSED')) as worsens, count_if(was in ('HIT', 'HONEST_REGIONAL', 'HONEST_UNKNOWN') and outcome = 'MISS_BELOW_FLOOR') as downgrades from swept group by all),
+scored as (select *, cast(improves - 2 * worsens - 0.5 * downgrades as double) as net, worsens = 0 and improves - 2 * worsens - 0.5 * downgrades > 0 as eligible from counted)"""
+_PROPOSED = f"""{_SCORES}, {_MERGED},
+config as (select a.array_id as array, coalesce((thresholds_json->>'seismic_min_semblance')::double, 0.12) as old_value from arrays a left join merged using (array_id)),
+chosen as (select s.array, arg_max(candidate, (net, -candidate)) as best from scored s where eligible group by s.array),
+proposed as (select c.array, 'seismic_min_semblance' as param, old_value, coalesce(best, old_value) as new_value, best is null as retained from config c left join chosen h on h.array = c.array)"""
 SQL = {
+    "calibration_score": f"with {DECODED}, {_SCORES} select * from scored",
+    "calibration_proposals": f"with {DECODED}, {_PROPOSED} select * from proposed",
+    "calibration_applied": f"with {DECODED}, {_PROPOSED} select m.array_id, case when not retained and new_value <> old_value then new_value else try_cast(thresholds_json->>'seismic_min_semblance' as double) end as min_semblance from merged m left join proposed p on p.array = m.array_id",
+    "pipeline_margin": "select array_id, round(aperture_m / 1500.0 + 1, 6) as margin_s from arrays",
+    "scoped_match": """with ok as (select id, n_events, array_id, vec::double[] as v, row_number() over (partition by id order by n_events desc nulls last, last_seen desc nulls last) as k from unknown_clusters where id is not null and len(vec) = 64 and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0),
+one as (select id, n_events, array_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from ok where k = 1),
+proto as (select array_id as label, id, n_events, u from (select *, row_number() over (partition by array_id order by n_events desc, id) as k from one where n_events >= 5 and array_id is not null) where k = 1),
+seen as (select p.label, count(*) as more from one o join proto p on p.label = o.array_id where round(list_dot_product(o.u, p.u), 9) >= 0.85 group by all)
+select label, id, n_events + coalesce(more, 0) as n_events from proto left join seen using (label)""",
     "ledger_latest": f"with {NOW} select event_file, verdict, outcome, ts from now",
     "ledger_decoded": f"with {DECODED} select event_file, magnitude, distance_km, semblance, n_candidates, origin_ms from dec",
     "ledger_invalidated": f"with {NOW} select array_id, 'geometry revised' as reason, count(*) as n from now where array_id in (select array_id from arrays where n_ch >= 2000) group by all",
@@ -199,23 +251,23 @@ SQL = {
     "unpromoted": f"with {_CLUSTERS} select * from c where id not in (select id from named)",
     "causal_match": f"with {CAUSAL} select event_file, file, event_id, classification, channels, at_ms from cand",
     "best_candidate": f"with {CAUSAL} select event_file, file, event_id, classification, n, round((at_ms - origin_ms) / 1000.0, 6) as delay_s from best",
-    "outcome_per_file": f"with {CAUSAL} select d.event_file, case when magnitude is null and d.origin_ms is null then case when verdict = 'SISMO_CONFIRMADO' then 'FALSE_ALARM' else 'CORRECT_REJECTION' end when d.origin_ms is not null and b.classification is null then 'MISS_BELOW_FLOOR' else coalesce(case b.classification when 'SISMO_CONFIRMADO' then 'HIT' when 'POSIBLE_REGIONAL_EMERGENTE' then 'HONEST_REGIONAL' when 'COHERENTE_DESCONOCIDO' then 'HONEST_UNKNOWN' when 'FUENTE_MOVIL_TRAFICO' then 'HONEST_UNKNOWN' end, 'MISS_SUPPRESSED') end as outcome from dec d left join best b using (event_file)",
+    "outcome_per_file": f"with {CAUSAL} {_OUTCOME}",
+    "outcome_per_file_whole": f"with {CAUSAL} {_OUTCOME}",
     "outcome_matrix": f"with {DECODED}, t as (select magnitude is not null as real, count(*) as total from dec group by all), o as (select unnest(['CORRECT_REJECTION', 'FALSE_ALARM', 'HIT', 'HONEST_REGIONAL', 'HONEST_UNKNOWN', 'MISS_BELOW_FLOOR', 'MISS_SUPPRESSED']) as outcome), c as (select magnitude is not null as real, outcome, count(*) as n from dec group by all), x as (select t.real, o.outcome, coalesce(c.n, 0) as n, total from t cross join o left join c on c.real = t.real and c.outcome = o.outcome) select real, outcome, n, total, round(n / total, 6) as rate, round({WILSON_LOW.format(k='n', n='total')}, 6) as low, round({WILSON_HIGH.format(k='n', n='total')}, 6) as high from x",
     "array_outcomes": f"with {NOW} select arr as array, outcome, count(*) as n from timed group by rollup (arr, outcome)",
     "stale_hits": f"with {DECODED} select event_file from dec where outcome = 'HIT' and pinned is null",
     "detectability": f"with {DECODED}, {_MERGED} select event_file, magnitude, distance_km, coalesce(m.aperture_m, a.aperture_m) as aperture_m, outcome from dec d left join merged m on m.array_id = d.arr left join arrays a on a.array_id = d.arr where magnitude is not null",
     "delay_anomalies": "with recursive " + NOW + """,
-ms as (select arr, cast(round(dt_detect_s * 1000) as int) as ms, count(*) as c from timed where dt_detect_s between 0 and 60 group by all),
-step as (select a.arr, a.ms, min(b.ms) as nxt from ms a left join ms b on a.arr = b.arr and b.ms > a.ms + 100 group by all),
-anchor as (select arr, min(ms) as ms from ms group by arr union all select s.arr, s.nxt from anchor a join step s on a.arr = s.arr and a.ms = s.ms where s.nxt is not null)
-select a.arr as array, a.ms as anchor_ms, cast(sum(m.c) as bigint) as n from anchor a join ms m on a.arr = m.arr and m.ms between a.ms and a.ms + 100 group by all having sum(m.c) >= 3""",
+val as (select arr, dt_detect_s as v, count(*) as c from timed where dt_detect_s is not null and not isnan(dt_detect_s) and not isinf(dt_detect_s) group by all),
+step as (select a.arr, a.v, min(b.v) as nxt from val a left join val b on a.arr = b.arr and b.v > a.v and b.v - a.v > 0.1 group by all),
+anchor as (select arr, min(v) as v from val group by arr union all select s.arr, s.nxt from anchor a join step s on a.arr = s.arr and a.v = s.v where s.nxt is not null)
+select a.arr as array, a.v as anchor_s, cast(sum(m.c) as bigint) as n from anchor a join val m on a.arr = m.arr and m.v >= a.v and m.v - a.v <= 0.1 group by all having sum(m.c) >= 3""",
     "calibration_flips": f"with {DECODED} select c::double as candidate, verdict as from_verdict, now as to_verdict, count(*) as n from (select c, verdict, {_RECL.format(c='c')} as now from dec cross join {_CANDS}) where now is not null and verdict is not null and now <> verdict group by all",
-    "calibration_choice": f"with {DECODED}, f as (select c::double as candidate, verdict, {_RECL.format(c='c')} as now from dec cross join {_CANDS}), g as (select candidate, count(*) as flips, count_if(verdict = 'SISMO_CONFIRMADO') as lost from f where now is not null and verdict is not null and now <> verdict group by all) select candidate, flips from g where lost = 0 order by candidate limit 1",
+    "calibration_choice": f"with {DECODED}, f as (select arr, c::double as candidate, verdict, {_RECL.format(c='c')} as now from dec cross join {_CANDS}), g as (select arr, candidate, count(*) as flips, count_if(verdict = 'SISMO_CONFIRMADO') as lost from f where now is not null and verdict is not null and now <> verdict group by all) select arr as array, candidate, flips from (select *, row_number() over (partition by arr order by candidate) as k from g where lost = 0) where k = 1",
     "recall_overlay": f"with {DECODED} select d.event_file, d.arr as array, n.snr_observed as snr, case when coalesce(d.n_candidates, 0) > 0 then 100 else 0 end as recall from dec d join now n using (event_file) where n.snr_observed is not null",
     "quiet_stretches": f"with {DECODED}, len as (select file, max(time_offset_s) as l from resultados where file is not null and not isnan(time_offset_s) group by file), s as (select len.file, l, d.origin_ms / 1000.0 - t.t as o from len left join dec d on d.event_file = len.file left join timed t on t.event_file = len.file), p as (select file, 0.0 as a, case when o is null then l else least(o - 5, l) end as b from s union all select file, greatest(o + 5, 0.0), l from s where o is not null) select file, round(a, 3) as from_s, round(b, 3) as to_s from p where b - a >= 10",
-    "calibration_score": f"with {DECODED}, x as (select c::double as candidate, {_RECL.format(c='0.12')} as was, {_RECL.format(c='c')} as now from dec cross join {_CANDS} where magnitude is not null), y as (select candidate, count_if(was <> 'SISMO_CONFIRMADO' and now = 'SISMO_CONFIRMADO') as improves, count_if(was = 'SISMO_CONFIRMADO' and now <> 'SISMO_CONFIRMADO') as worsens, count_if(was = 'POSIBLE_REGIONAL_EMERGENTE' and now = 'COHERENTE_DESCONOCIDO') as downgrades from x where was is not null group by all) select *, cast(improves - 2 * worsens - 0.5 * downgrades as double) as net from y",
     "recall_gauge": f"with {NOW} select arr as array, round(avg(case when outcome = 'HIT' then 1 else 0 end), 6) as recall, count(*) as n from timed where outcome in ('HIT', 'HONEST_UNKNOWN', 'HONEST_REGIONAL', 'MISS_SUPPRESSED', 'MISS_BELOW_FLOOR') group by arr",
     "recall_curves": f"with {_STEPS} select *, round({WILSON_LOW.format(k='hits', n='n')}, 6) as low, round({WILSON_HIGH.format(k='hits', n='n')}, 6) as high from steps",
-    "snr50": f"with {_STEPS}, l as (select *, lead(snr) over w as s2, lead(recall) over w as r2 from steps window w as (partition by array_id, updated order by snr)), x as (select *, row_number() over (partition by array_id, updated order by snr) as k from l where recall < 0.5 and r2 >= 0.5) select array_id, updated, round(snr + (0.5 - recall) / (r2 - recall) * (s2 - snr), 6) as snr50 from x where k = 1",
+    "snr50": f"with {_STEPS}, l as (select *, lead(snr) over w as s2, lead(recall) over w as r2 from steps window w as (partition by array_id, updated order by snr)), x as (select *, row_number() over (partition by array_id, updated order by snr) as k from l where (recall - 0.5) * (r2 - 0.5) <= 0 and recall <> r2) select array_id, updated, round(snr + (0.5 - recall) / (r2 - recall) * (s2 - snr), 6) as snr50 from x where k = 1",
     "recall_falls": f"with {_STEPS}, b as (select *, {WILSON_LOW.format(k='hits', n='n')} as low, {WILSON_HIGH.format(k='hits', n='n')} as high from steps), l as (select *, lead(high) over (partition by array_id, updated order by snr) as nh from b) select array_id, updated, snr from l where nh < low",
 }

@@ -25,7 +25,7 @@ def test_ratio_against_a_loop(spark):
     for ch in range(3):
         for i in range(80):
             p = m[ch].astype(float) ** 2
-            want = 1.0 if i < cfg.warm else p[i - 2 : i + 1].mean() / (p[i - 28 : i - 4].mean() + 1e-12)
+            want = 1.0 if i < cfg.warm else p[i - 2 : i + 1].mean() / (p[i - 28 : i - 4].mean() + 1e-12 * float(m.max()) ** 2)
             assert got[ch, i] == pytest.approx(want)
 
 
@@ -39,7 +39,7 @@ def test_islands_against_a_loop(spark):
                 runs.append([p, p])
             runs[-1][1] = last = p
         df = spark.createDataFrame([(0, p) for p in points], "arr bigint, i int")
-        got = triage.islands(df, ["arr"], merge).groupBy("run").agg(F.min("i").alias("a"), F.max("i").alias("b")).orderBy("a")
+        got = triage.islands(df, ["arr"], merge, width=16).groupBy("run").agg(F.min("i").alias("a"), F.max("i").alias("b")).orderBy("a")
         assert [[r.a, r.b] for r in got.collect()] == runs
 
 
@@ -49,20 +49,62 @@ def test_no_trigger_while_warming_up(spark):
 
 
 def test_a_plane_wave_has_its_slowness(spark):
-    m = np.zeros((10, 90))
+    m = np.zeros((10, 120))
     wave = [3, 9, -12, 20, -12, 9, 3]
     for ch in range(10):
-        m[ch, 40 + ch : 47 + ch] += wave
-    ev = spark.createDataFrame([(0, "e", 38, 60, 0, 9, 10)], "arr bigint, event_id string, i_from int, i_to int, ch_min int, ch_max int, n_ch bigint")
-    cfg = coherence.Coherence(margin=12)
-    peak = coherence.velocity_peak(coherence.semblance(ev, cells(spark, m), cfg), cfg)
-    best = peak.first()
-    assert best.p == 1.0 and not best.boundary and best.semblance > 0.9
-    assert coherence.coherent_channels(ev, cells(spark, m), peak, cfg).first().n_coherent == 10
+        m[ch, 50 + ch : 57 + ch] += wave
+    ev = spark.createDataFrame([(0, "e", 48, 70, 0, 9, 10)], "arr bigint, event_id string, i_from int, i_to int, ch_min int, ch_max int, n_ch bigint")
+    for enveloped in (True, False):
+        cfg = coherence.Coherence(use_envelope=enveloped, steps=12)
+        best = coherence.stacked(ev, cells(spark, m), cfg).first()
+        assert abs(best.v - 1.0) < 0.1 and not best.boundary and best.semblance > 0.9 and best.n_coherent == 10
+    curve = coherence.semblance(coherence.stacked(ev, cells(spark, m), cfg), cfg).orderBy("k").collect()
+    assert len(curve) == 24 and curve[0].p == pytest.approx(-3) and curve[-1].p == pytest.approx(3)
     fired = cells(spark, (np.abs(m) > 2).astype(int)).filter("a > 0").withColumn("ratio", F.lit(9.0))
     assert coherence.onset_velocity(ev, fired, cfg).first().v_onset == 1.0
 
 
+def test_windows_over_chunk_ends(spark):
+    r = np.random.default_rng(12)
+    m = r.integers(-9, 9, (4, 200))
+    ev = spark.createDataFrame([(0, "e", 60, 75, 0, 3, 4), (0, "start", 2, 9, 0, 3, 4), (0, "end", 190, 199, 1, 2, 2)], "arr bigint, event_id string, i_from int, i_to int, ch_min int, ch_max int, n_ch bigint")
+    one, many = ({x.event_id: x for x in coherence.stacked(ev, waveforms.chunked(cells(spark, m), size), size=size).collect()} for size in (512, 16))
+    assert one.keys() == {"e", "start", "end"} and all(one[k].semblances == pytest.approx(many[k].semblances) for k in one)
+    a, b = ({(x.event_id): x.snr for x in coherence.observed_snr(ev, waveforms.chunked(cells(spark, m), size), size=size).collect()} for size in (512, 16))
+    e = m[:, 60:76].astype(float), m[:, :58].astype(float)
+    want = np.median(np.sqrt((e[0] ** 2).mean(axis=1))) / np.median(np.sqrt((e[1] ** 2).mean(axis=1)))
+    assert a["e"] == pytest.approx(want) and a == pytest.approx(b) and "start" not in a
+
+
+def test_median_slope_in_blocks():
+    r = np.random.default_rng(13)
+    for n in (9, 60, 151):
+        x, t = np.sort(r.choice(5000, n, replace=False)).astype(float), r.integers(0, 40, n).astype(float)
+        want = np.median([(t[j] - t[i]) / (x[j] - x[i]) for i in range(n) for j in range(i + 1, n)])
+        assert coherence.median_slope(x, t) == pytest.approx(want) and coherence.median_slope(x, t, most=300) == pytest.approx(want)
+
+
+def test_physical_decision():
+    c = coherence.physical(100.0, 8.0)
+    assert c.v_low == pytest.approx(1500 / 800) and c.v_high == pytest.approx(10) and (c.pad, c.half, c.window) == (100, 50, 200)
+    beam, start = coherence.wide_beam(np.ones((3, 4000)), 0, (2000, 2100), 1.0, c, 100.0)
+    assert start == 2000 - 1200 and len(beam) == 1200 + 101 + 300
+
+
+def test_silent_and_broken_arrays(spark):
+    c = cells(spark, np.zeros((2, 60)))
+    assert {x.ratio for x in triage.sta_lta(c).collect()} == {1.0}
+    odd = cells(spark, np.ones((2, 60))).withColumn("a", F.when(F.col("i") == 40, float("nan")).otherwise(F.col("a").cast("double")))
+    assert {x.ratio for x in triage.sta_lta(odd).collect()} == {1.0}
+
+
+def test_ratio_across_chunks_and_gaps(spark):
+    m = np.random.default_rng(14).integers(0, 50, (2, 200))
+    c = cells(spark, m)
+    whole, parts = ({(x.ch, x.i): x.ratio for x in triage.sta_lta(waveforms.chunked(c, size)).collect()} for size in (512, 40))
+    assert whole == pytest.approx(parts)
+
+
 def test_verdict_order(spark):
     schema = "arr bigint, event_id string, n_ch bigint, span double, f_c double, v double, semblance double, boundary boolean, v_onset double, speed double, r2 double, duration int, n_coherent bigint"
     inf = float("inf")
@@ -169,3 +211,30 @@ def test_a_bad_batch_fails_alone(spark):
     assert [got[k] for k in range(4)] == [(f"{float(k)}", None) for k in range(4)] and all(got[k] == (None, "no") for k in range(4, 8))
     wrong = micro_batched(t, lambda x: [1] * (len(x) + 1), 3).filter("error is null")
     assert wrong.count() == 0
+
+
+def test_live_gaps_and_late_chunks():
+    from lumenarray.streaming.triage import ratios
+
+    cfg = triage.Tier0()
+    x = np.random.default_rng(15).integers(1, 9, 80)
+    whole = ratios(x, np.zeros(0, np.int64), 0, cfg)
+    assert whole[:29].tolist() == [1.0] * 29
+    assert ratios(x[40:], x[11:40], 40, cfg) == pytest.approx(whole[40:])
+
+
+def test_gather_of_a_tracked_event(spark):
+    m = np.random.default_rng(16).integers(-50, 50, (1, 600))
+    m = np.array([np.roll(m[0], 2 * ch) for ch in range(7)])
+    ev = spark.createDataFrame([(0, "car", 100, 400, 1, 5)], "arr bigint, event_id string, i_from int, i_to int, ch_min int, ch_max int")
+    g = interferometry.gather_of_events(ev, cells(spark, m), lags=20, window=100, hop=50, pad=50)
+    best = g.groupBy("event_id", "ch").agg(F.max_by("lag", "ncf").alias("lag")).orderBy("ch").collect()
+    assert [(r.event_id, r.lag) for r in best] == [("car", 2 * (ch - 3)) for ch in range(7)]
+
+
+def test_rates_must_agree(spark):
+    c = cells(spark, np.ones((1, 3))).withColumn("file", F.lit("a")).withColumn("fs", F.lit(50.0))
+    other = c.withColumn("file", F.lit("b")).withColumn("fs", F.lit(100.0))
+    assert waveforms.concatenated(c.unionByName(c.withColumn("file", F.lit("b")))).count() == 6
+    with pytest.raises(Exception, match="sampling rate"):
+        waveforms.concatenated(c.unionByName(other)).collect()
