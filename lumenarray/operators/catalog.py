@@ -67,7 +67,7 @@ def nearest_prototype(signatures: DataFrame, protos: DataFrame, tau: float = 0.8
                     best = c.argmax(axis=1)
                     near = c[np.arange(len(c)), best]
                     keep = near > -2
-                    yield pd.DataFrame({"id": part["id"].to_numpy()[keep], "label": [labels[j] for j in best[keep]], "similarity": near[keep]})
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[keep], "label": np.array(labels, object)[best[keep]], "similarity": near[keep]})
 
         s = signatures.filter("vec is not null").select("id", "vec", *([F.col(scope).alias("scope")] if scope else []))
         s = s.filter("scope is not null") if scope else s
