@@ -9,8 +9,6 @@ time slices, so that the state never holds more than about one slice.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from lumenarray.functions.files import absolute_ms, current, file_start_s, with_
 from lumenarray.session import scratch
 
 TOLERANCE_MS = 20_000
+DAY_MS = 86_400_000
 SLICE_ROWS_PER_CORE = 150_000  # in the state at a time, for each core of the cluster
 LEFT = "entity string, left_id string, t_ms bigint"
 RIGHT = "entity string, right_id string, t_ms bigint"
@@ -44,49 +43,89 @@ def nearest_stream(left: DataFrame, right: DataFrame, tolerance_ms: int) -> Data
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int = TOLERANCE_MS, slice_rows: int | None = None) -> DataFrame:
-    """nearest_stream over finite tables: left_id, right_id, gap_ms.
-
-    The tables are staged in the shared folder and fed slice by slice in order
-    of time, each as one micro-batch of the same streaming query, whose state
-    and progress live in the shared folder too, so that it survives lost
-    executors. slice_rows bounds the state; by default it follows the number of
-    cores. A last mark beyond all times lets the watermark pass every
-    horizon. Rows with a null entity, id or time take no part; left rows
-    without a candidate give no row; repeated rows count once.
+    """nearest_stream over finite tables: entity, left_id, left_ms, right_id, gap_ms.
+
+    Instants are staged in the shared folder: of an entity's right rows at one
+    instant only the least right_id can answer, and its left rows at one
+    instant have one answer, so an entity comes to 40,000 rows a bucket at
+    most, however many its rows. If all fit the state, the staged files are the
+    stream; else they are put in order of time once, and fed slice by slice,
+    each as one micro-batch of the same streaming query, whose state and
+    progress live in the shared folder too, so that it survives lost executors.
+    slice_rows bounds the state; by default it follows the number of cores. A
+    last mark beyond all times lets the watermark pass every horizon. Rows with
+    a null entity, id or time take no part; left rows without a candidate give
+    no row; repeated rows count once.
     """
     spark = left.sparkSession
     home = scratch(spark, "nearest")
-    sides = {"left": (left, LEFT), "right": (right, RIGHT)}
-    bounds, total = [], 0
-    for side, (df, _) in sides.items():
-        df.dropna().distinct().write.parquet(f"{home}/staged-{side}")
-        low, high, n = spark.read.parquet(f"{home}/staged-{side}").agg(F.min("t_ms"), F.max("t_ms"), F.count("*")).first()
-        bounds += [] if low is None else [low, high]
-        total += n
+    known = left.select("entity", "left_id", "t_ms").dropna()
+    known.write.parquet(f"{home}/known")
+    known = spark.read.schema(LEFT).parquet(f"{home}/known")
+    instants = {
+        "left": (known.select("entity", F.lit("").alias("left_id"), "t_ms").distinct(), LEFT),
+        "right": (right.select("entity", "right_id", "t_ms").dropna().groupBy("entity", "t_ms").agg(F.min("right_id").alias("right_id")).select("entity", "right_id", "t_ms"), RIGHT),
+    }
+    end, total, days = 0, 0, {}
+    for side, (df, schema) in instants.items():
+        df.write.parquet(f"{home}/staged-{side}")
+        # a row a day comes to the driver
+        for r in spark.read.schema(schema).parquet(f"{home}/staged-{side}").groupBy(F.floor(F.col("t_ms") / DAY_MS).alias("day")).agg(F.count("*").alias("n"), F.max("t_ms").alias("last")).collect():
+            days[r.day] = days.get(r.day, 0) + r.n
+            end, total = max(end, r.last), total + r.n
+    end += 10 * tolerance_ms
     slice_rows = slice_rows or SLICE_ROWS_PER_CORE * spark.sparkContext.defaultParallelism
-    slices = max(1, math.ceil(total / slice_rows))
-    cuts = []
-    if slices > 1:
-        cuts = sorted(set(spark.read.parquet(f"{home}/staged-left").select("t_ms").unionByName(spark.read.parquet(f"{home}/staged-right").select("t_ms")).approxQuantile("t_ms", [k / slices for k in range(1, slices)], 0.1 / slices)))
-    end = (max(bounds) if bounds else 0) + 10 * tolerance_ms
-    edges = [None, *map(int, cuts), None]
-    for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
-        for side, (_, schema) in sides.items():
-            part = spark.read.parquet(f"{home}/staged-{side}")
-            part = part if a is None else part.filter(F.col("t_ms") >= a)
-            part = part if z is None else part.filter(F.col("t_ms") < z)
-            if k == len(edges) - 2:
-                part = part.unionByName(spark.createDataFrame([("", "", end)], schema))
-            part.write.mode("append").parquet(f"{home}/feed-{side}")
-        streams = [spark.readStream.schema(schema).parquet(f"{home}/feed-{side}") for side, (_, schema) in sides.items()]
-        query = (
-            nearest_stream(*streams, tolerance_ms).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-            .option("path", f"{home}/out").option("checkpointLocation", f"{home}/progress").start()
-        )
-        query.awaitTermination()
+    mark = lambda side: spark.createDataFrame([("", "", end)], instants[side][1]).coalesce(1)
+    if total <= slice_rows:
+        for side in instants:
+            mark(side).write.mode("append").parquet(f"{home}/staged-{side}")
+        _fed(spark, {side: f"{home}/staged-{side}" for side in instants}, home, tolerance_ms)
+    else:
+        parts = 4 * -(-total // slice_rows)
+        for side, (_, schema) in instants.items():
+            spark.read.schema(schema).parquet(f"{home}/staged-{side}").repartitionByRange(parts, "t_ms").sortWithinPartitions("t_ms").write.parquet(f"{home}/ordered-{side}")
+        edges = _edges(days, slice_rows, {side: spark.read.schema(schema).parquet(f"{home}/ordered-{side}") for side, (_, schema) in instants.items()})
+        for k, (a, z) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+            for side, (_, schema) in instants.items():
+                # in order of time: a slice's filter leaves out all other row groups
+                part = spark.read.schema(schema).parquet(f"{home}/ordered-{side}")
+                part = part if a is None else part.filter(F.col("t_ms") >= a)
+                part = part if z is None else part.filter(F.col("t_ms") < z)
+                part = part.unionByName(mark(side)) if k == len(edges) else part
+                part.write.mode("append").parquet(f"{home}/feed-{side}")
+            _fed(spark, {side: f"{home}/feed-{side}" for side in instants}, home, tolerance_ms)
     # a left row at the edge of two buckets keeps the nearer of its candidates
     out = spark.read.schema("entity string, bucket bigint, left_id string, left_time timestamp, nearest struct<gap_ms: bigint, right_id: string>").parquet(f"{home}/out")
-    return out.filter("entity <> ''").groupBy("entity", "left_id", "left_time").agg(F.min("nearest").alias("n")).select("entity", "left_id", "n.right_id", "n.gap_ms")
+    best = out.filter("entity <> ''").groupBy("entity", F.unix_millis("left_time").alias("t_ms")).agg(F.min("nearest").alias("n"))
+    return known.distinct().join(best, ["entity", "t_ms"]).select("entity", "left_id", F.col("t_ms").alias("left_ms"), "n.right_id", "n.gap_ms")
+
+
+def _edges(days: dict[int, int], slice_rows: int, ordered: dict[str, DataFrame]) -> list[int]:
+    """Times that part slices of about slice_rows rows: ends of days; within a
+    day of more rows than that, quantiles of that day."""
+    edges, held = [], 0
+    for day in sorted(days):
+        parts = -(-days[day] // slice_rows)
+        if held and held + days[day] > slice_rows:
+            edges.append(day * DAY_MS)
+            held = 0
+        if parts > 1:
+            one = [df.filter(F.col("t_ms").between(day * DAY_MS, (day + 1) * DAY_MS - 1)).select("t_ms") for df in ordered.values()]
+            edges += map(int, one[0].unionByName(one[1]).approxQuantile("t_ms", [k / parts for k in range(1, parts)], 0.1 / parts))
+            held = slice_rows
+        else:
+            held += days[day]
+    return sorted(set(edges))
+
+
+def _fed(spark: SparkSession, paths: dict[str, str], home: str, tolerance_ms: int) -> None:
+    """One run of the streaming query over what is new in its folders."""
+    streams = [spark.readStream.schema(schema).parquet(paths[side]) for side, schema in (("left", LEFT), ("right", RIGHT))]
+    query = (
+        nearest_stream(*streams, tolerance_ms).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        .option("path", f"{home}/out").option("checkpointLocation", f"{home}/progress").start()
+    )
+    query.awaitTermination()
 
 
 def origins(ledger: DataFrame, arrays: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def test_against_brute_force_in_slices(spark):
         if near:
             want.add((i, min(near)[1], min(near)[0]))
     assert run(spark, left, right) == want
-    assert run(spark, left + left[:20], right + right[:20], slice_rows=200) == want
+    assert run(spark, left + left[:20], right + right[:20], slice_rows=60) == want  # one day, cut by quantiles
+    assert run(spark, [(e, i, t * 300) for e, i, t in left], [(e, i, t * 300) for e, i, t in right], slice_rows=40) == run(spark, [(e, i, t * 300) for e, i, t in left], [(e, i, t * 300) for e, i, t in right])
 
 
 def test_nulls_ties_and_limits(spark):
@@ -33,6 +34,11 @@ def test_nulls_ties_and_limits(spark):
     assert run(spark, left, right) == {("x", "early", 20_000)}
 
 
+def test_many_rows_at_one_instant(spark):
+    left, right = [("a", f"l{i}", 50_000) for i in range(40)], [("a", f"r{i}", 50_007) for i in range(40)] + [("a", "far", 50_100)]
+    assert run(spark, left, right) == {(f"l{i}", "r0", 7) for i in range(40)}
+
+
 def test_empty(spark):
     assert run(spark, [], []) == set()
     assert run(spark, [("a", "x", 1)], []) == set()
