@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenarray.operators.ordered import previous_in_order
+from lumenarray.session import cut
 
 SKETCH = 12  # minimum hashes kept per column
 ACCEPT = 0.5  # least similarity of a rename
@@ -26,49 +27,51 @@ RUN_BUCKET = 64
 CHANGES = "series string, run_no int, result_file string, field string, change_kind string, other_field string, score double"
 
 
-def parsed_lines(raw: DataFrame) -> DataFrame:
-    """Distinct parsable lines (series, run_no, result_file, line_no, record).
-
-    Marks before the first brace are dropped; a line ingested twice counts
-    once; cut, empty and null lines and lines that hold no object are left
-    out, as are rows without series, run_no or result_file.
-    """
+def lines_of(raw: DataFrame) -> DataFrame:
+    """series, run_no, result_file, line_no, line: the lines that may hold an
+    object. Marks before the first brace are dropped; null lines and those
+    without a brace are left out, as are rows without series, run_no or file."""
     d = raw.filter("series is not null and run_no is not null and result_file is not null and line is not null")
-    d = d.select("series", "run_no", "result_file", "line_no", F.regexp_replace("line", r"^[^{]+", "").alias("line")).distinct()
-    d = d.withColumn("record", F.try_parse_json("line"))
-    return d.filter(F.schema_of_variant("record").startswith("OBJECT")).drop("line")
+    d = d.select("series", "run_no", "result_file", "line_no", F.regexp_replace("line", r"^[^{]+", "").alias("line"))
+    return d.filter(F.col("line").startswith("{"))
+
 
+def cells(raw: DataFrame) -> DataFrame:
+    """One row per parsable line and field: field, value (variant), type (null
+    for a null). A line ingested twice counts twice, in all its fields alike.
+    A line without fields gives one row without a field."""
+    view = lines_of(raw).select("series", "run_no", "result_file", F.try_parse_json("line").alias("record")).filter("record is not null")
+    each = view.lateralJoin(raw.sparkSession.tvf.variant_explode(F.col("record").outer())).drop("record", "pos").withColumnRenamed("key", "field")
+    kind = F.split_part(F.schema_of_variant("value"), F.lit("<"), F.lit(1))
+    return each.withColumn("type", F.when(kind.isin("STRING", "BOOLEAN", "ARRAY", "OBJECT"), kind).when(kind != "VOID", "NUMBER"))
 
-def cells(lines: DataFrame) -> DataFrame:
-    """One row per line and field: field, value (variant), type."""
-    view = lines.select("series", "run_no", "result_file", "line_no", "record")
-    spark = lines.sparkSession
-    each = view.lateralJoin(spark.tvf.variant_explode(F.col("record").outer())).drop("record", "pos").withColumnRenamed("key", "field")
-    kind = F.regexp_extract(F.schema_of_variant("value"), r"^[A-Z]+", 0)
-    kind = F.when(kind == "VOID", None).when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"), "NUMBER").otherwise(kind)
-    return each.withColumn("type", kind)
+
+TYPES = ["NUMBER", "STRING", "BOOLEAN", "ARRAY", "OBJECT"]
 
 
 def profiles(cell: DataFrame) -> DataFrame:
     """Per file and field: its types, shares, number range and a value sketch.
 
     All parts are plain aggregates of fixed size, so a file with a large share
-    of all lines is reduced before it is shuffled.
+    of all lines is reduced before it is shuffled. The letters of a value are
+    hashed once; the sketch is the least of each of SKETCH permutations.
     """
-    text = F.to_json("value")
-    bare = F.trim(F.lower(F.regexp_replace(text, r"[0-9+\-.eE\"\[\]{}]+", " ")))
-    number = F.when(F.col("type") == "NUMBER", F.try_variant_get("value", "$", "double")).when(F.col("type") == "STRING", F.try_variant_get("value", "$", "string").try_cast("double"))
-    d = cell.withColumn("_bare", F.when(F.col("type").isNotNull(), bare)).withColumn("_x", number)
+    is_number = F.col("type") == "NUMBER"
+    text = F.when(~is_number, F.to_json("value"))
+    bare = F.trim(F.lower(F.regexp_replace("_text", r"[0-9+\-.eE\"\[\]{}]+", " ")))
+    number = F.when(is_number, F.try_variant_get("value", "$", "double")).when(F.col("type") == "STRING", F.try_variant_get("value", "$", "string").try_cast("double"))
+    d = cell.select("series", "run_no", "result_file", "field", "type", text.alias("_text"), number.alias("_x"))
+    d = d.withColumn("_h", F.when(F.col("type").isNotNull(), F.when(is_number, F.lit(0)).otherwise(F.shiftright(F.crc32(bare.cast("binary")), 2))))
+    d = d.withColumn("_bit", F.coalesce(*(F.when(F.col("type") == t, F.lit(1 << k)) for k, t in enumerate(TYPES)), F.lit(0))).withColumn("_log", F.ln(F.abs("_x") + 1e-6))
     whole = F.when(F.col("_x").isNotNull(), (F.col("_x") == F.floor("_x")).cast("double"))
-    mins = [F.min(F.xxhash64(F.lit(i), "_bare")).alias(f"h{i}") for i in range(SKETCH)]
+    # odd multipliers and shifts permute the hashes, which have 30 bits
+    mins = [F.min(F.pmod(F.col("_h") * F.lit(0x9E3779B1 + 2 * 7919 * i) + F.lit(104729 * i), F.lit(1 << 30))).alias(f"h{i}") for i in range(SKETCH)]
     got = d.groupBy("series", "run_no", "result_file", "field").agg(
-        F.array_sort(F.collect_set("type")).alias("types"),
-        F.count("type").alias("n"), F.count(F.lit(1)).alias("n_rows"),
-        F.count("_x").alias("n_numbers"), F.avg("_x").alias("mean"), F.avg(F.ln(F.abs("_x") + 1e-6)).alias("log_mean"), F.stddev_pop(F.ln(F.abs("_x") + 1e-6)).alias("log_dev"),
-        F.min("_x").alias("low"), F.max("_x").alias("high"), F.avg(whole).alias("whole"), F.avg((F.col("_x") < 0).cast("double")).alias("negative"), F.avg(F.length(text)).alias("length"),
-        *mins,
+        F.bit_or("_bit").alias("_bits"), F.count("type").alias("n"), F.count("_x").alias("n_numbers"), F.avg("_log").alias("log_mean"), F.stddev_pop("_log").alias("log_dev"),
+        F.avg(whole).alias("whole"), F.avg((F.col("_x") < 0).cast("double")).alias("negative"), F.avg(F.length("_text")).alias("length"), *mins,
     )
-    return got.withColumn("sketch", F.array(*(f"h{i}" for i in range(SKETCH)))).drop(*(f"h{i}" for i in range(SKETCH)))
+    types = F.filter(F.array(*(F.when(F.col("_bits").bitwiseAND(1 << k) > 0, F.lit(t)) for k, t in enumerate(TYPES))), lambda t: t.isNotNull())
+    return got.withColumn("types", types).withColumn("sketch", F.array(*(f"h{i}" for i in range(SKETCH)))).drop("_bits", *(f"h{i}" for i in range(SKETCH)))
 
 
 def words(name: str) -> list[str]:
@@ -164,7 +167,7 @@ def changes(raw: DataFrame) -> DataFrame:
     the first has no changes. For a rename, field is the new name and
     other_field the old one. Empty input gives no changes.
     """
-    p = profiles(cells(parsed_lines(raw)))
+    p = profiles(cells(raw)).filter("field is not null")
     shape = F.struct(*(c for c in p.columns if c not in ("series", "run_no", "result_file")))
     files = p.groupBy("series", "run_no", "result_file").agg(F.collect_list(shape).alias("fields"))  # bounded by the width of a file
     # files are looked up by (series, run) rather than carried through the window
@@ -181,37 +184,50 @@ def changes(raw: DataFrame) -> DataFrame:
     return pairs.select("series", "run_no", "result_file", "old", "fields").mapInPandas(run, CHANGES).distinct()
 
 
-def canonical_names(change: DataFrame, cell: DataFrame) -> DataFrame:
-    """field -> name: of names that any series renames into each other, the
-    one used in most files (ties: the least). Grows with the number of
-    distinct field names, not with the lines."""
-    edges = change.filter("change_kind = 'renamed'").select(F.col("other_field").alias("a"), F.col("field").alias("b")).distinct()
-    used = cell.groupBy("field").agg(F.approx_count_distinct("result_file").alias("uses"))
-    names = used.select(F.col("field").alias("a"), F.lit(None).cast("string").alias("b"), "uses").unionByName(edges.withColumn("uses", F.lit(None).cast("bigint")))
+# The columns of a verdict and their types.
+NUMBERS = ["apparent_velocity_mps", "semblance", "coincidence_fraction", "coherent_channels", "span_fraction", "track_speed_mps", "track_r2", "v_app_onset_mps", "onset_fit_r2", "channel_offset", "time_offset_s"]
+FLAG = "suppressed_false_positive"
+TEXTS = ["event_id", "classification", "phases", "file"]
+
+
+KNOWN = [*NUMBERS, *TEXTS, FLAG, "explanations"]
+
+
+def canonical_names(change: DataFrame, fields: DataFrame) -> DataFrame:
+    """series, names (field -> name): what each field of a series is called in
+    the unified table.
+
+    Names that a series renames into each other are one column there; other
+    series' renames don't join them. It is called by the verdict column among
+    its names, else by the one that most series give any of its names, else by
+    the name used in most files (ties: the least). fields: series, field, uses.
+    """
+    edges = change.filter("change_kind = 'renamed'").select("series", F.col("other_field").alias("field"), F.col("field").alias("to"), F.lit(None).cast("bigint").alias("uses")).distinct()
 
     def link(g: pd.DataFrame) -> pd.DataFrame:
-        uses = {r.a: r.uses for r in g.itertuples() if not pd.isna(r.uses)}
-        label = {n: n for n in uses}
+        label: dict[str, str] = {}
 
         def top(x: str) -> str:
             while label.setdefault(x, x) != x:
                 x = label[x]
             return x
 
-        for r in g[g.uses.isna()].itertuples():
-            label[top(r.a)] = top(r.b)
-        best: dict[str, str] = {}
-        for n in sorted(label, key=lambda n: (-uses.get(n, 0), n)):
-            best.setdefault(top(n), n)
-        return pd.DataFrame([(n, best[top(n)]) for n in label], columns=["field", "name"])
-
-    return names.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(link, "field string, name string")
-
+        for r in g[g["to"].notna()].itertuples():
+            label[top(r.field)] = top(r.to)
+        uses = {r.field: r.uses for r in g[g["to"].isna()].itertuples()}
+        groups: dict[str, list[str]] = {}
+        for f in sorted(set(uses) | set(label), key=lambda f: (f not in KNOWN, -uses.get(f, 0), f)):
+            groups.setdefault(top(f), []).append(f)
+        rows = [(g["series"].iloc[0], f, fs[0], fs[0] in KNOWN) for fs in groups.values() for f in fs]
+        return pd.DataFrame(rows, columns=["series", "field", "name", "sure"])
 
-# The columns of a verdict and their types.
-NUMBERS = ["apparent_velocity_mps", "semblance", "coincidence_fraction", "coherent_channels", "span_fraction", "track_speed_mps", "track_r2", "v_app_onset_mps", "onset_fit_r2", "channel_offset", "time_offset_s"]
-FLAG = "suppressed_false_positive"
-TEXTS = ["event_id", "classification", "phases", "file"]
+    # a group is a series' field names, whatever its lines
+    own = cut(fields.select("series", "field", F.lit(None).cast("string").alias("to"), "uses").unionByName(edges).groupBy("series").applyInPandas(link, "series string, field string, name string, sure boolean"))
+    said = own.filter("sure and field <> name").groupBy("field", "name").agg(F.count("*").alias("n"))
+    elsewhere = said.groupBy("field").agg(F.min(F.struct((-F.col("n")).alias("n"), "name")).alias("b")).select("field", F.col("b.name").alias("_said"))
+    whole = own.join(elsewhere, "field", "left").groupBy("series", "name").agg(F.min(F.when(~F.col("sure"), F.col("_said"))).alias("_said"))
+    named = own.join(whole, ["series", "name"]).select("series", "field", F.coalesce("_said", "name").alias("name"))
+    return named.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
 
 
 def unified(raw: DataFrame) -> DataFrame:
@@ -219,16 +235,26 @@ def unified(raw: DataFrame) -> DataFrame:
 
     Numbers written as text become numbers, 0/1 and text flags become
     booleans, a lone explanation becomes a list; what can't be converted is
-    null. Fields that are no verdict column are kept in the map `extra`.
+    null. Of two fields of a line with one name the one so written wins, then
+    the lesser. Fields that are no verdict column are kept in the map `extra`.
+    A line ingested twice counts once. A line is taken apart and renamed in
+    its own row; the names of its series (as many as it has fields) join it.
     """
-    cell = cells(parsed_lines(raw)).filter("field is not null")
-    names = canonical_names(changes(raw), cell)
-    text = F.coalesce(F.when(F.col("type") == "STRING", F.try_variant_get("value", "$", "string")), F.when(F.col("type").isNotNull(), F.to_json("value")))
-    d = cell.join(names, "field").withColumn("_text", text)
     line = ["series", "run_no", "result_file", "line_no"]
-    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("_text")))
-    known = [*NUMBERS, *TEXTS, FLAG, "explanations"]
-    out = d.groupBy(*line).agg(*(pick(c).alias(c) for c in known), F.map_from_entries(F.array_distinct(F.collect_list(F.when(~F.col("name").isin(known), F.struct("field", "_text"))))).alias("extra"))
-    flag = F.lower(FLAG)
-    listed = F.coalesce(F.from_json("explanations", "array<string>"), F.when(F.col("explanations").isNotNull(), F.array("explanations")))
-    return out.select(*line, *TEXTS, *(F.col(c).try_cast("double").alias(c) for c in NUMBERS), F.when(flag.isin("true", "1", "yes"), True).when(flag.isin("false", "0", "no"), False).alias(FLAG), listed.alias("explanations"), "extra")
+    whole = lines_of(raw).distinct().filter(F.try_parse_json("line").isNotNull())
+    fields = cells(raw).filter("field is not null").groupBy("series", "field").agg(F.approx_count_distinct("result_file").alias("uses"))
+    names = canonical_names(changes(raw), fields)
+    entries = F.map_entries(F.from_json("line", "map<string,string>"))
+    d = whole.select(*line, entries.alias("e")).join(names, "series", "left")
+    name = lambda x: F.coalesce(F.try_element_at("names", x["key"]), x["key"])
+    said = F.filter(F.transform("e", lambda x: F.struct(name(x).alias("name"), (name(x) != x["key"]).alias("other"), x["key"].alias("field"), x["value"].alias("value"))), lambda x: x["value"].isNotNull())
+    d = d.select(*line, F.array_sort(said).alias("s"))
+    first = F.filter("s", lambda x, i: (i == 0) | (F.element_at("s", F.greatest(i, F.lit(1)))["name"] != x["name"]))
+    d = d.select(*line, F.map_from_entries(F.transform(first, lambda x: F.struct(x["name"], x["value"]))).alias("m"))
+    text = lambda c: F.try_element_at("m", F.lit(c))
+    flag = F.lower(text(FLAG))
+    listed = F.coalesce(F.from_json(text("explanations"), "array<string>"), F.when(text("explanations").isNotNull(), F.array(text("explanations"))))
+    return d.select(
+        *line, *(text(c).alias(c) for c in TEXTS), *(text(c).try_cast("double").alias(c) for c in NUMBERS), F.when(flag.isin("true", "1", "yes"), True).when(flag.isin("false", "0", "no"), False).alias(FLAG),
+        listed.alias("explanations"), F.map_filter("m", lambda k, _: ~k.isin(KNOWN)).alias("extra"),
+    )

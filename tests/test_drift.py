@@ -65,3 +65,48 @@ def test_unified(spark):
         r = got[key]
         assert (r.classification, r.semblance, r.suppressed_false_positive, r.explanations, r.extra) == ("X", 0.5, True, ["a"], {"extra1": "1"})
     assert got["r_1", 0].semblance == 0.5 and got["r_1", 0].v_app_onset_mps is None
+
+
+def test_a_rename_holds_in_its_series_only(spark):
+    # u -> v in one series and v -> w in another must not make u and w one column
+    rows = [("s", n, k, line(k, **{name: f"word{k % 3}", "classification": "X"})) for n, name in ((1, "peak_label"), (2, "peak_labels")) for k in range(6)]
+    rows += [("t", n, k, line(k, **{name: f"word{k % 3}", "classification": "X"})) for n, name in ((1, "peak_labels"), (2, "peaks_label_text")) for k in range(6)]
+    rows += [("v", 1, k, line(k, clasificacion="Y")) for k in range(2)] + [("w", n, k, line(k, **{name: "Z"})) for n, name in ((1, "classification"), (2, "clasificacion")) for k in range(4)]
+    got = drift.unified(raw(spark, rows)).collect()
+    keys = {s: {k for r in got if r.series == s for k in r.extra} for s in "stvw"}
+    assert len(keys["s"]) == 1 and len(keys["t"]) == 1 and keys["s"] | keys["t"] <= {"peak_label", "peak_labels", "peaks_label_text"}
+    # a series that never had the column's own name takes it from those that renamed it
+    assert {(r.series, r.classification) for r in got if r.series in "vw"} == {("v", "Y"), ("w", "Z")}
+
+
+def test_two_fields_of_one_name_and_repeats(spark):
+    rows = [("s", 1, k, line(k, semblance=0.5 + k)) for k in range(4)] + [("s", 2, k, line(k, semblance_peak=0.6 + k)) for k in range(4)]
+    rows += [("s", 3, 0, line(0, semblance=1.5, semblance_peak=2.5))] * 2 + [("s", 3, 1, line(1, semblance=None, semblance_peak=2.5))]
+    got = {(r.run_no, r.line_no): r for r in drift.unified(raw(spark, rows)).collect()}
+    assert len(got) == 10 and got[2, 1].semblance == 1.6 and got[3, 0].semblance == 1.5 and got[3, 1].semblance == 2.5
+
+
+def test_unified_against_a_loop(spark):
+    from lumenarray.session import table
+
+    t = table(spark, "/root/testdata/sf0.001", "resultados_raw")
+    want = {}
+    for r in t.filter("series is not null and run_no is not null and result_file is not null and line is not null").collect():
+        text = r.line[r.line.find("{") :] if "{" in r.line else ""
+        try:
+            d = json.loads(text)
+        except ValueError:
+            continue
+        if isinstance(d, dict):
+            want[r.series, r.run_no, r.result_file, r.line_no, text] = d
+    got = drift.unified(t).collect()
+    assert len(got) == len(want)
+    plain = {(k[0], k[1], k[2], k[3]): d for k, d in want.items()}
+    for r in got:
+        d = plain[r.series, r.run_no, r.result_file, r.line_no]
+        for c in ("event_id", "classification"):
+            if isinstance(d.get(c), str):
+                assert getattr(r, c) == d[c]
+        if isinstance(d.get("semblance"), float):
+            assert r.semblance == d["semblance"]
+        assert not set(r.extra) & set(drift.KNOWN)
