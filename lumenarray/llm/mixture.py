@@ -117,19 +117,21 @@ def kernel_links(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, n
     """Pairs (row, other) and the log likelihood ratio of the row: a component
     round the other, as wide as their distance says (no wider than WIDEST),
     against the background; only ratios above `least`."""
-    d = x.shape[1]
-    square = (x.astype(np.float64) ** 2).sum(1)
+    n, d = x.shape
+    half = (0.5 * (x.astype(np.float64) ** 2).sum(1)).astype(np.float32)
+    one = np.ones(n, np.float32)
+    # one product gives minus half the squared distance
+    left, right = np.column_stack([x, half, one]), np.column_stack([x, -one, -half]).T.copy()
     rows, others, ratios = [], [], []
-    for a in range(0, len(x), 512):
-        part = slice(a, a + 512)
-        distance = np.maximum(square[part, None] + square - 2.0 * (x[part] @ x.T), 0)
-        near = distance < 2 * WIDEST * d  # beyond, the background is as good
-        i, j = np.nonzero(near)
-        i, j = i[i + a != j], j[i + a != j]
-        v = np.clip(distance[i, j] / d, 0.02, WIDEST)
-        ratio = 0.5 * square[a + i] - 0.5 * (distance[i, j] / v + d * np.log(v))
-        keep = ratio > least
-        rows.append(a + i[keep])
+    for a in range(0, n, 512):
+        close = left[a : a + 512] @ right
+        i, j = np.nonzero(close > -WIDEST * d)  # beyond, the background is as good
+        distance = np.maximum(-2 * close[i, j].astype(np.float64), 0)
+        i += a
+        v = np.clip(distance / d, 0.02, WIDEST)
+        ratio = half[i] - 0.5 * (distance / v + d * np.log(v))
+        keep = (ratio > least) & (i != j)
+        rows.append(i[keep])
         others.append(j[keep])
         ratios.append(ratio[keep])
     return np.concatenate(rows), np.concatenate(others), np.concatenate(ratios)
