@@ -60,11 +60,13 @@ class Coherence:
 
 
 def physical(fs: float, dx: float, **changes) -> Coherence:
-    """The decision for an array sampled fs times a second every dx metres:
-    1,500 to 8,000 m/s, traffic at 4 to 45 m/s for two seconds and more."""
+    """The decision for an array sampled fs times a second every dx metres.
+    Fixed values: 1,500 to 8,000 m/s, coincidence within 3.5 s, traffic at 2 to
+    40 m/s for 3 s, onsets on 30 channels, arrivals from 12 s before an event
+    to 3 s after it."""
     unit = 1 / (dx * fs)  # of one metre a second, in channels a sample
     given = {
-        "v_low": 1500 * unit, "v_high": 8000 * unit, "window": max(1, int(2.0 * fs)), "traffic_low": 4 * unit, "traffic_high": 45 * unit, "traffic_duration": int(2.0 * fs), "onset_channels": 8,
+        "v_low": 1500 * unit, "v_high": 8000 * unit, "window": max(1, int(3.5 * fs)), "traffic_low": 2 * unit, "traffic_high": 40 * unit, "traffic_duration": int(3.0 * fs), "onset_channels": 30,
         "pad": int(fs), "half": int(0.5 * fs), "lookback": int(12 * fs), "lookahead": int(3 * fs),
     }
     return Coherence(**{**given, **changes})

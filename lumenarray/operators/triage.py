@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,15 @@ class Tier0:
         return self.sta + self.lta + self.gap
 
 
+def physical(fs: float, n_ch: int, threshold: float = 4.0) -> Tier0:
+    """The triage of an array of n_ch channels sampled fs times a second. Fixed
+    values: 0.4 against 8 s, 0.4 s apart; events of 0.3 s and more, gaps of 3 s
+    and of 80 channels; blocks over 20 s are cut where fewer than 1 % of the
+    channels (4 at least) fire."""
+    sta = max(1, int(0.4 * fs))
+    return Tier0(sta, max(sta + 1, int(8.0 * fs)), int(0.4 * fs), threshold, int(3.0 * fs), max(1, math.ceil(0.3 * fs)), 80, int(20.0 * fs), max(4, int(0.01 * n_ch)))
+
+
 def trailing_mean(cells: DataFrame, width: int, into: str = "mean") -> DataFrame:
     """Mean of the last `width` samples (fewer at the start), by prefix sums
     within stretches of a channel: one running sum and a look-back each,

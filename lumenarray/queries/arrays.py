@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarray.operators import coherence, injection, interferometry, triage
+from lumenarray.operators import coherence, injection, interferometry, scoring, triage
+from lumenarray.plans import recordings
 from lumenarray.sources import waveforms
 from lumenarray.session import cut, table
 
@@ -162,6 +163,44 @@ def injected_recall(spark, d):
     return _rounded(injection.recall_curve(cells(spark, d)), "recall", "low", "high")
 
 
+def _recordings(spark, d):
+    """The grid as recordings: three samples a second, 1,500 m between channels.
+    A third of them is catalogued with an origin, a third without."""
+    c = cut(chunks(spark, d))
+    arr = F.col("arr")
+    one = c.groupBy("arr").agg(F.count_distinct("ch").alias("n_ch"))
+    geometry = one.select("arr", F.lit(3.0).alias("fs"), F.lit(1500.0).alias("dx"), F.lit(15).alias("n_ch"), F.lit(4.0).alias("threshold"))
+    truth = one.select("arr", F.when(arr % 3 != 0, 1.0 + arr % 5).alias("magnitude"), F.when(arr % 3 == 1, 12.0 + (arr * 13) % 10).alias("origin_s"), F.lit(None).cast("double").alias("distance_km"))
+    return c, geometry, truth
+
+
+def file_verdicts(spark, d):
+    """Every event of every recording with its verdict in physical units."""
+    c, geometry, _ = _recordings(spark, d)
+    return recordings.analysed(c, geometry)
+
+
+def file_ledger(spark, d):
+    """The ledger row of every recording."""
+    return recordings.ledger_rows(*_recordings(spark, d))
+
+
+def threshold_sweep(spark, d):
+    return recordings.threshold_sweep(*_recordings(spark, d), (4.0, 5.0, 7.0))
+
+
+def threshold_scores(spark, d):
+    """The sweep's other thresholds against the one in force."""
+    s = cut(threshold_sweep(spark, d))
+    return scoring.sweep_scores(s.filter("candidate <> 4.0").drop("classification"), s.filter("candidate = 4.0").select("array", "event_file", "outcome"))
+
+
+def event_gathers(spark, d):
+    """Gathers of the events tracked as moving sources, in units of the grid."""
+    c, fired, ev = _parts(spark, d)
+    return _rounded(interferometry.gather_of_events(ev.filter("n_ch > 3 and i_to - i_from >= 3"), waveforms.cells_of(c), lags=6, window=16, hop=8, pad=8), "ncf")
+
+
 def event_windows(spark, d):
     c, _, ev = _parts(spark, d)
     w = coherence.event_window(ev, c)
@@ -187,7 +226,7 @@ def sliding_windows(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     signal_grid, oriented, cropped, derivative, common_mode, dead_channels, trailing_mean, one_bit, channel_noise, smoothed, sta_lta, trigger_raster, merge_runs, density_resegment, extract_events, reduction_stats,
-    coincidence, span_fraction, track_speed, onset_theil_sen, semblance_curve, velocity_peak, coherent_channels, verdicts, observed_snr, injected_waves, injected_recall, event_windows, concatenated, one_bit_xcorr, fold_and_fit, sliding_windows,
+    coincidence, span_fraction, track_speed, onset_theil_sen, semblance_curve, velocity_peak, coherent_channels, verdicts, observed_snr, injected_waves, injected_recall, file_verdicts, file_ledger, threshold_sweep, threshold_scores, event_gathers, event_windows, concatenated, one_bit_xcorr, fold_and_fit, sliding_windows,
 )}
 
 GRID = """

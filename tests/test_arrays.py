@@ -86,7 +86,7 @@ def test_median_slope_in_blocks():
 
 def test_physical_decision():
     c = coherence.physical(100.0, 8.0)
-    assert c.v_low == pytest.approx(1500 / 800) and c.v_high == pytest.approx(10) and (c.pad, c.half, c.window) == (100, 50, 200)
+    assert c.v_low == pytest.approx(1500 / 800) and c.v_high == pytest.approx(10) and (c.pad, c.half, c.window) == (100, 50, 350)
     beam, start = coherence.wide_beam(np.ones((3, 4000)), 0, (2000, 2100), 1.0, c, 100.0)
     assert start == 2000 - 1200 and len(beam) == 1200 + 101 + 300
 
@@ -238,3 +238,57 @@ def test_rates_must_agree(spark):
     assert waveforms.concatenated(c.unionByName(c.withColumn("file", F.lit("b")))).count() == 6
     with pytest.raises(Exception, match="sampling rate"):
         waveforms.concatenated(c.unionByName(other)).collect()
+
+
+def quake(n_ch=60, fs=50.0, dx=50.0, speed=3000.0, seconds=40, at=22.0, seed=20):
+    """Noise with a plane wave, and its speed."""
+    r = np.random.default_rng(seed)
+    data = r.normal(size=(n_ch, int(seconds * fs)))
+    return signal.plane_wave(data, fs, dx, speed, at, signal.ricker(6.0, fs), 30.0)
+
+
+def recorded(spark, arrays):
+    rows = [(arr, ch, a, row[a : a + 512].tolist()) for arr, m in arrays.items() for ch, row in enumerate(m) for a in range(0, len(row), 512)]
+    chunks = spark.createDataFrame(rows, "arr bigint, ch int, i0 int, samples array<double>")
+    return chunks, spark.createDataFrame([(arr, 50.0, 50.0, len(m), 4.0) for arr, m in arrays.items()], "arr bigint, fs double, dx double, n_ch int, threshold double")
+
+
+def test_recordings_to_ledger_rows(spark):
+    from lumenarray.plans import recordings as plan
+
+    quiet = np.random.default_rng(21).normal(size=(60, 2000))
+    arrays = {1: quake(), 2: quake(speed=-5000.0, seed=22), 3: quiet, 4: quake(), 5: quake(), 6: quake(seed=23)}
+    arrays[6][3, 700:720] = np.nan
+    chunks, geometry = recorded(spark, arrays)
+    clean = plan.prepared(chunks, geometry, band=None)
+    truth = spark.createDataFrame([(1, 2.0, 21.0, None), (2, 2.0, 21.0, 1.0), (3, 1.0, 21.0, None), (4, 2.0, None, None), (5, None, None, None), (6, 2.0, 30.0, None)], "arr bigint, magnitude double, origin_s double, distance_km double")
+    ev = {r.arr: r for r in plan.analysed(clean, geometry).orderBy("n_ch").collect()}
+    assert ev[1].classification == coherence.SEISMIC and abs(ev[1].apparent_velocity_mps / 3000 - 1) < 0.08 and abs(ev[1].v_app_onset_mps / 3000 - 1) < 0.15
+    assert abs(ev[2].apparent_velocity_mps / -5000 - 1) < 0.08 and ev[1].phases.t_p_s is not None
+    rows = {r.arr: r for r in plan.ledger_rows(clean, geometry, truth).collect()}
+    assert {k: r.outcome for k, r in rows.items()} == {1: "HIT", 2: "HIT", 3: "MISS_BELOW_FLOOR", 4: "HIT", 5: "CORRECT_REJECTION", 6: "MISS_BELOW_FLOOR"}
+    assert 0 < rows[1].dt_detect_s < 2 and rows[1].snr_observed > 3 and rows[4].dt_detect_s is None and rows[4].snr_observed is None and rows[3].verdict is None
+    assert '"evaluated_without_origin":true' in rows[4].metrics_json
+    sweep = plan.threshold_sweep(clean.filter("arr < 3"), geometry.filter("arr < 3"), truth.filter("arr < 3"), (4.0, 1e9))
+    assert {(r.array, r.candidate, r.outcome) for r in sweep.collect()} == {(a, c, o) for a in "12" for c, o in ((4.0, "HIT"), (1e9, "MISS_BELOW_FLOOR"))}
+
+
+def test_filtered_recordings_keep_their_shape(spark):
+    from lumenarray.plans import recordings as plan
+
+    chunks, geometry = recorded(spark, {1: quake(n_ch=3, seconds=20)})
+    got = {(r.ch, r.i0): r.samples for r in plan.prepared(chunks, geometry).collect()}
+    want = signal.bandpass(quake(n_ch=3, seconds=20), 50.0)
+    assert all(np.allclose(s, want[ch, i0 : i0 + 512]) for (ch, i0), s in got.items()) and len(got) == 6
+
+
+def test_inspection_and_attributes(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", data=np.zeros((3, 20), np.float32), other=np.zeros(4))
+    (tmp_path / "b.npz").write_bytes(b"broken")
+    got = {(r.file, r.dataset): (r.shape, r.dtype, bool(r.error)) for r in recordings.inspected(spark, f"file://{tmp_path}/*.npz", "npz").collect()}
+    assert got == {("a.npz", "data"): ([3, 20], "float32", False), ("a.npz", "other"): ([4], "float64", False), ("b.npz", None): (None, None, True)}
+    assert recordings.text("é".encode() + b"\xff") == "é�" and recordings.text(3) == "3"
+    rows = spark.createDataFrame([("x", {"magnitude": "2.5", "event_time_index": "7", "event_time": "t"}), ("x", {"magnitude": "2.5"}), ("y", {"magnitude": "?"}), ("z", None)], "file string, attrs map<string,string>")
+    truth = {r.file: r.truth for r in recordings.ground_truth(recordings.catalogued(rows)).collect()}
+    assert truth["x"].magnitude == 2.5 and truth["y"] is None and "z" not in truth
+    assert rows.select(recordings.attribute(F.col("attrs"), "none", "default").alias("v")).first().v == "default"
