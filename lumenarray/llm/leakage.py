@@ -26,7 +26,6 @@ from lumenarray.llm.text import words
 
 RUN, ERRORS = 30, 5
 FORMULA_WORDS, FORMULA_ITEMS = 10, 3
-PASSAGE_ITEMS = 8  # a whole run that fewer items share is a passage, no formula
 LEAST_OWN = 15
 LENGTHS = range(2, 11)
 PART = 8192
@@ -142,54 +141,29 @@ def chosen(cost: np.ndarray, starts: np.ndarray, size: int, pieces: np.ndarray)
     return np.unique(np.concatenate(out), axis=0)
 
 
-def digest(w: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(w).encode(), digest_size=8).digest()
-
-
-def grams(text: str, run: int = RUN) -> tuple[bytes, set[bytes], set[bytes]]:
-    """Digests of a text's words, of its runs of FORMULA_WORDS words and of its
-    runs of `run` words."""
+def grams(text: str) -> tuple[bytes, set[bytes]]:
+    """Digests of a text's words and of its runs of FORMULA_WORDS words."""
     w = words(text)
-    return digest(w), *({digest(w[k : k + n]) for k in range(len(w) - n + 1)} for n in (FORMULA_WORDS, run))
+    digest = lambda x: hashlib.blake2b(" ".join(x).encode(), digest_size=8).digest()
+    return digest(w), {digest(w[k : k + FORMULA_WORDS]) for k in range(len(w) - FORMULA_WORDS + 1)}
 
 
-def standing(eval_items: DataFrame, run: int = RUN) -> tuple[set[bytes], set[bytes]]:
-    """Digests of the customary runs of all items (FORMULA_WORDS words in
-    FORMULA_ITEMS items of different text and more), and of the passages: whole
-    runs that so many items share, but fewer than PASSAGE_ITEMS."""
+def standing(eval_items: DataFrame) -> set[bytes]:
+    """Digests of the formulas of all items: runs of FORMULA_WORDS words in
+    FORMULA_ITEMS items of different text."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(t, long, g) for t, short, whole in (grams(x, run) for x in batch["text"].tolist()) for long, part in ((False, short), (True, whole)) for g in part]
-            yield pd.DataFrame(found, columns=["text", "long", "gram"])
-
-    found = eval_items.filter("item_id is not null and text is not null").select("text").mapInPandas(scan, "text binary, long boolean, gram binary").distinct()
-    kept = found.groupBy("long", "gram").count().filter((F.col("count") >= FORMULA_ITEMS) & (~F.col("long") | (F.col("count") < PASSAGE_ITEMS))).collect()
-    return {bytes(r.gram) for r in kept if not r.long}, {bytes(r.gram) for r in kept if r.long}
-
+            yield pd.DataFrame([(t, g) for t, found in map(grams, batch["text"].tolist()) for g in found], columns=["text", "gram"])
 
-def counted(texts: list[str], run: int) -> tuple[set[bytes], set[bytes]]:
-    """What `standing` gives, of a few texts."""
-    each = {t: (short, whole) for t, short, whole in (grams(x, run) for x in texts)}.values()
-    short, whole = (Counter(g for e in each for g in e[k]) for k in (0, 1))
-    return {g for g, n in short.items() if n >= FORMULA_ITEMS}, {g for g, n in whole.items() if FORMULA_ITEMS <= n < PASSAGE_ITEMS}
-
-
-def formula_words(w: list[str], formulas: tuple[set[bytes], set[bytes]], run: int) -> np.ndarray:
-    """Which words belong to a standing formula: to a customary run, but to no passage."""
-    out = np.zeros(len(w), bool)
-    for found, n, value in ((formulas[0], FORMULA_WORDS, True), (formulas[1], run, False)):
-        for k in range(len(w) - n + 1) if found else ():
-            if digest(w[k : k + n]) in found:
-                out[k : k + n] = value
-    return out
+    found = eval_items.filter("item_id is not null and text is not null").select("text").mapInPandas(scan, "text binary, gram binary").distinct()
+    return {bytes(r.gram) for r in found.groupBy("gram").count().filter(F.col("count") >= FORMULA_ITEMS).select("gram").collect()}
 
 
-def prepare(rows: list[tuple[int, str]], run: int = RUN, errors: int = ERRORS, formulas: tuple[set[bytes], set[bytes]] | None = None) -> Items:
+def prepare(rows: list[tuple[int, str]], run: int = RUN, errors: int = ERRORS, formulas: set[bytes] | None = None) -> Items:
     """Index of (item_id, text) rows. Standing formulas (runs of FORMULA_WORDS
     words in FORMULA_ITEMS items of different text, counted over these rows if
-    not given) are marked and no anchors; a whole run shared by fewer than
-    PASSAGE_ITEMS is a passage of several items and none. A window that must match LEAST_OWN
+    not given) are marked and no anchors. A window that must match LEAST_OWN
     of its other words has room for fewer edits in them, and needs one piece
     more than these. Items
     without words are left out; equal texts share their hits."""
@@ -201,8 +175,17 @@ def prepare(rows: list[tuple[int, str]], run: int = RUN, errors: int = ERRORS, f
             ids.append(i)
             seqs.append(np.array(w, np.int64))
             texts.append(text)
-    formulas = formulas or counted(texts, run)
-    marks = [formula_words(words(text), formulas, run) for text in texts]
+    if formulas is None:
+        spread = Counter(g for found in dict(map(grams, texts)).values() for g in found)
+        formulas = {g for g, n in spread.items() if n >= FORMULA_ITEMS}
+    marks = []
+    for s, text in zip(seqs, texts, strict=True):
+        formula = np.zeros(len(s), bool)
+        w = words(text)
+        for k in range(len(s) - FORMULA_WORDS + 1) if formulas else ():
+            if hashlib.blake2b(" ".join(w[k : k + FORMULA_WORDS]).encode(), digest_size=8).digest() in formulas:
+                formula[k : k + FORMULA_WORDS] = True
+        marks.append(formula)
     flat, base = laid(seqs, run)
     own = np.zeros(len(flat), bool)
     for b, m in zip(base.tolist(), marks, strict=True):
@@ -334,11 +317,12 @@ def find(documents: DataFrame, eval_items: DataFrame, run: int = RUN, errors: in
     to the tasks as one index; documents are never shuffled. Null and empty
     texts and null ids give no row; a document posted twice gives a row for
     each doc_id; an item under FORMULA_WORDS words gives none, one under `run`
-    words must come whole, its edits in proportion. Output (FOUND): the best verified stretch of each pair.
+    words must come whole, its edits in proportion. What FORMULA_ITEMS items
+    share word for word is a formula, however long. Output (FOUND): the best verified stretch of each pair.
     """
     chars = eval_items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    formulas = standing(eval_items, run) if blocks > 1 else None
+    formulas = standing(eval_items) if blocks > 1 else None
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     out = None
     for b in range(blocks):

@@ -44,7 +44,7 @@ def test_altered_passages_short_quotes_and_formulas(spark):
     w = vocabulary(4000, 1)
     formula = " ".join(w[3000:3030])
     items = [(k, " ".join(w[k * 100 : k * 100 + 100])) for k in range(4)]
-    items += [(k, " ".join(w[1000 + k * 50 : 1050 + k * 50]) + " " + formula) for k in range(4, 14)]
+    items += [(k, " ".join(w[1000 + k * 50 : 1050 + k * 50]) + " " + formula) for k in range(4, 8)]
     leak = w[120:160]
     dirty = [x.upper() + "," if i % 9 == 0 else "misread" if i % 13 == 5 else x for i, x in enumerate(leak)]
     split = " ".join(leak[:20]) + " (Applause) [A member: no!] " + leak[20][:3] + "-\n" + leak[20][3:] + " " + " ".join(leak[21:])
@@ -83,7 +83,7 @@ def test_a_formula_within_a_leak_does_not_hide_it(spark):
 def test_formulas_are_counted_over_all_blocks(spark):
     w = vocabulary(3000, 5)
     formula = w[2000:2040]
-    items = [(k, " ".join(w[k * 100 : k * 100 + 50] + formula)) for k in range(9)]
+    items = [(k, " ".join(w[k * 100 : k * 100 + 50] + formula)) for k in range(6)]
     d = spark.createDataFrame([(1, " ".join(formula)), (2, " ".join(w[105:145]))], "doc_id bigint, text string")
     found = leakage.find(d, spark.createDataFrame(items, "item_id bigint, text string"), block_chars=400)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(2, 1)}
@@ -124,18 +124,15 @@ def test_short_items_come_whole(spark):
     assert pairs(spark, docs, items) == {(n, n) for n in (10, 15, 20, 24, 29)} | {(124, 24)}
 
 
-def test_a_passage_of_several_items_is_no_formula(spark):
-    w = vocabulary(6000, 11)
+def test_what_two_items_share_is_a_passage_and_three_a_formula(spark):
+    w = vocabulary(4000, 11)
     docs, items, want = [], [], set()
-    for n, shared in enumerate((1, 2, 3, 5, 8)):
+    for n, shared in enumerate((1, 2, 3)):
         passage = w[n * 1000 : n * 1000 + 40]
         items += [(n * 100 + k, " ".join(passage + w[n * 1000 + 50 + k * 60 : n * 1000 + 110 + k * 60])) for k in range(shared)]
-        docs.append((n, " ".join(w[5900:5930] + passage + w[5930:5960])))
-        want |= {(n, n * 100 + k) for k in range(shared)} if shared < 8 else set()
+        docs.append((n, " ".join(w[3900:3930] + passage + w[3930:3960])))
+        want |= {(n, n * 100 + k) for k in range(shared)} if shared < 3 else set()
     assert pairs(spark, docs, items) == want
-    d = spark.createDataFrame(docs, "doc_id bigint, text string")
-    found = leakage.find(d, spark.createDataFrame(items, "item_id bigint, text string"), block_chars=3_000)
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
 def test_five_spread_errors(spark):
