@@ -77,15 +77,15 @@ def energy_ratios(samples: np.ndarray, lead: np.ndarray, first: np.ndarray, scal
 def sta_lta(waves: DataFrame, cfg: Tier0 = Tier0(), above: float | None = None) -> DataFrame:
     """arr, ch, i, ratio: short-term over delayed long-term mean energy; 1 while
     warming up, and throughout an array that is silent or holds a value that
-    is not finite. waves: cells or chunks, whose size must be cfg.warm at
-    least. above: only ratios above it.
+    is not finite. Null samples are 0. waves: cells or chunks, whose size must
+    be cfg.warm at least. above: only ratios above it.
 
     Chunks get the end of the one before as a lead-in; sums run within a
     chunk, in Arrow batches of many channels at once.
     """
-    chunks = as_chunks(waves).select("arr", "ch", "i0", F.col("samples").cast("array<double>").alias("samples"))
-    size = F.aggregate("samples", F.lit(0.0), lambda s, x: F.greatest(s, F.coalesce(F.abs(finite(x)), F.lit(float("inf")))))
-    scale = chunks.groupBy("arr").agg(F.max(size).alias("scale")).select("arr", F.when(F.col("scale") < float("inf"), F.col("scale")).otherwise(0.0).alias("scale"))
+    chunks = as_chunks(waves).select("arr", "ch", "i0", "samples")
+    most, least = F.array_max("samples").cast("double"), F.array_min("samples").cast("double")  # nan counts as the greatest
+    scale = chunks.groupBy("arr").agg(F.greatest(F.max(most), -F.min(least)).alias("scale")).select("arr", F.coalesce(finite(F.col("scale")), F.lit(0.0)).alias("scale"))
     tail = F.slice("samples", F.greatest(F.size("samples") - cfg.warm + 1, F.lit(1)), F.lit(cfg.warm))
     d = chunks.withColumn("_tail", tail).withColumn("_end", F.col("i0") + F.size("samples"))
     d = previous_in_order(d, ["arr", "ch"], ["i0"], F.floor(F.col("i0") / (1 << 20)), ["_tail", "_end"])
@@ -95,19 +95,19 @@ def sta_lta(waves: DataFrame, cfg: Tier0 = Tier0(), above: float | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             arr, ch, i0, scale = (b.column(c).to_numpy() for c in ("arr", "ch", "i0", "scale"))
-            values, offsets = b.column("samples").values.to_numpy(), b.column("samples").offsets.to_numpy()
+            values, offsets = b.column("samples").values.to_numpy(zero_copy_only=False), b.column("samples").offsets.to_numpy()
             length = np.diff(offsets)
             leads = np.zeros((len(arr), cfg.warm))
-            led, held = b.column("lead").offsets.to_numpy(), b.column("lead").values.to_numpy()
+            led, held = b.column("lead").offsets.to_numpy(), b.column("lead").values.to_numpy(zero_copy_only=False)
             for k in np.flatnonzero(np.diff(led)).tolist():
-                leads[k, cfg.warm - (led[k + 1] - led[k]) :] = held[led[k] : led[k + 1]]
+                leads[k, cfg.warm - (led[k + 1] - led[k]) :] = np.nan_to_num(held[led[k] : led[k + 1]])
             for n in np.unique(length).tolist():
-                for rows in np.array_split(np.flatnonzero(length == n), max(1, int((length == n).sum()) * max(n, 1) // 4_000_000)):
+                for rows in np.array_split(np.flatnonzero(length == n), max(1, int((length == n).sum()) * max(n, 1) // 1_000_000)):
                     if not n or not len(rows):
                         continue
                     x = values[offsets[rows][:, None] + np.arange(n)]
-                    ratio = energy_ratios(x, leads[rows], i0[rows], scale[rows], cfg)
-                    r, i = np.nonzero(ratio > above) if above is not None else (a.ravel() for a in np.indices(ratio.shape))
+                    ratio = energy_ratios(np.nan_to_num(x), leads[rows], i0[rows], scale[rows], cfg)
+                    r, i = np.nonzero(ratio > above) if above is not None else (k.ravel() for k in np.indices(ratio.shape))
                     yield pa.RecordBatch.from_arrays([pa.array(arr[rows][r]), pa.array(ch[rows][r]), pa.array((i0[rows][r] + i).astype(np.int32)), pa.array(ratio[r, i])], ["arr", "ch", "i", "ratio"])
 
     return d.select("arr", "ch", "i0", "scale", "lead", "samples").mapInArrow(run, "arr bigint, ch int, i int, ratio double")
