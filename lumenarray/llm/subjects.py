@@ -1,9 +1,10 @@
 """Problem 9: subjects of each document.
 
 Sentences are embedded by term weighting and a truncated singular value
-decomposition. Each subject starts from seed centroids (one per language) of
-its labelled documents and its description; the centroids are refined by
-assigning the labelled documents' sentences and averaging again. Every
+decomposition. Each subject starts from four seed centroids, the halves of halves
+of its labelled documents' sentences and description along their main
+directions (such as the languages); the centroids are refined by assigning those
+sentences and averaging again. Every
 sentence of the corpus goes to the nearest centroid by cosine, or to none, and
 a document's sentences decide its subjects.
 """
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from lumenarray.llm.text import ASIDE
 
 SAMPLE = 4_000  # labelled documents that the model is fitted on, at most
-TERMS = 40_000  # vocabulary, at most
 RANK = 48
 ROUNDS = 6
 LEAST_SENTENCES, LEAST_SHARE = 2, 0.25
@@ -31,8 +31,6 @@ ABOUT = "doc_id bigint, subject string, sentences int, about_any int"
 
 TOKEN = re.compile(r"[^\W\d_]{3,}|[.!?;](?=\s)")
 ENDS = {mark: -2 for mark in ".!?;"}
-# Common function words that tell the two languages apart.
-SPANISH = "que los las del para una con por como nos sobre desde hay".split()
 
 
 @dataclass
@@ -42,7 +40,7 @@ class Model:
     mark: np.ndarray  # random number of each term, summed to a sentence's signature
     vectors: np.ndarray  # weighted projection of each term
     subjects: list[str]
-    centroids: np.ndarray  # (subject, language) x rank
+    centroids: np.ndarray  # up to four a subject, x rank
     owner: np.ndarray  # subject of each centroid
     stock: np.ndarray  # signatures of sentences that speeches share by custom
     least_cosine: float = 0.3
@@ -99,6 +97,16 @@ def truncated_svd(ids: np.ndarray, of: np.ndarray, n: int, weight: np.ndarray, r
     return q
 
 
+def halves(x: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Rows on either side of their mean along the direction in which they
+    differ most; all of them where that leaves a side with under three."""
+    if len(rows) < 6:
+        return [rows]
+    centred = x[rows] - x[rows].mean(axis=0)
+    side = centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1] > 0
+    return [rows[side], rows[~side]] if 3 <= side.sum() <= len(rows) - 3 else [rows]
+
+
 def fit(texts: list[str], labels: list[set[str]], subjects: list[tuple[str, str]], frequency: dict[str, int], documents: int, rank: int = RANK) -> Model:
     """Model from labelled documents; frequency: documents of the whole corpus
     that hold each term. Without labelled documents the descriptions are all."""
@@ -147,26 +155,25 @@ def fit(texts: list[str], labels: list[set[str]], subjects: list[tuple[str, str]
     model.vectors = truncated_svd(ids, of, n, weight, rank) * weight[:, None]
     x, strength = unit(weighted_sums(model.vectors, ids, of, n)), sums(weight[ids], of, n)
     allowed = truth[text_of]
-    spanish_terms = [terms[w] for w in SPANISH if w in terms]
-    all_ids, all_of, _ = sentences([*texts, *(t for _, t in described)], terms | ENDS)
-    spanish = np.bincount(all_of[np.isin(all_ids, spanish_terms)], minlength=n) >= 2
-    # seeds: sentences of documents with one subject; refined by assignment
-    take = [np.flatnonzero(allowed[:, k] & (allowed.sum(1) == 1) & (strength > 0)) for k in range(k_all)]
+    # seeds: sentences of documents with one subject, in quarters; refined by assignment
+    take, owner = [], []
+    for k in range(k_all):
+        rows = np.flatnonzero(allowed[:, k] & (allowed.sum(1) == 1) & (strength > 0))
+        for half in halves(x, rows):
+            for part in halves(x, half):
+                take.append(part)
+                owner.append(k)
     for _ in range(ROUNDS + 1):
-        centroids, owner = [], []
-        for k, rows in enumerate(take):
-            for part in (rows[spanish[rows]], rows[~spanish[rows]]):
-                if len(part):
-                    centroids.append((x[part] * strength[part, None]).sum(0))
-                    owner.append(k)
-        if not owner:
+        kept = [(rows, k) for rows, k in zip(take, owner, strict=True) if len(rows)]
+        if not kept:
             return model
-        model.centroids, model.owner = unit(np.array(centroids, np.float32)), np.array(owner)
+        owner = np.array([k for _, k in kept])
+        model.centroids, model.owner = unit(np.array([(x[rows] * strength[rows, None]).sum(0) for rows, _ in kept], np.float32)), owner
         cosine = x @ model.centroids.T
         best = cosine.argmax(1)
         top = cosine[np.arange(n), best]
-        sure = (top >= 0.4) & (strength > 0) & allowed[np.arange(n), model.owner[best]]
-        take = [np.flatnonzero(sure & (model.owner[best] == k)) for k in range(k_all)]
+        sure = (top >= 0.4) & (strength > 0) & allowed[np.arange(n), owner[best]]
+        take = [np.flatnonzero(sure & (best == c)) for c in range(len(owner))]
     # the bounds for "about a subject": the best over the labelled documents, the strictest of equals
     inside, best_score = text_of < n_texts, -1.0
     for least_cosine in (0.6, 0.5, 0.4, 0.3):
@@ -207,22 +214,31 @@ def count_sentences(model: Model, texts: list[str | None]) -> np.ndarray:
     return counts
 
 
-def document_frequency(documents: DataFrame, terms: int = TERMS) -> tuple[dict[str, int], int]:
-    """Documents of the corpus that hold each term, for the `terms` most
-    frequent ones, and the number of documents. A statistic of all documents;
-    what comes to the driver is bounded by `terms`."""
+def document_frequency(documents: DataFrame, terms: set[str]) -> tuple[dict[str, int], int]:
+    """Documents of the corpus that hold each of the terms, and the number of
+    documents: a statistic of all documents, for as many terms as are given."""
+    spark = documents.sparkSession
     d = documents.filter("text is not null")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
-    top = d.select(F.explode(words).alias("term")).groupBy("term").count().filter("count >= 3").orderBy(F.desc("count"), "term").limit(terms)
-    return {r[0]: r[1] for r in top.collect()}, d.count()
+    known = spark.createDataFrame([(t,) for t in sorted(terms)], "term string")
+    found = d.select(F.explode(words).alias("term")).join(F.broadcast(known), "term").groupBy("term").count()
+    return {r[0]: r[1] for r in found.collect()}, d.count()
+
+
+def telling_terms(texts: list[str]) -> set[str]:
+    """The terms of the labelled texts; no others can lean to a subject."""
+    return {w for t in texts for w in TOKEN.findall(ASIDE.sub(" ", t.lower())) if w not in ENDS}
 
 
 def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> Model:
-    """Fit on at most `sample` labelled documents, chosen by a hash of their id."""
+    """Fit on at most `sample` labelled documents, chosen by a hash of their id.
+    The vocabulary is theirs and the descriptions', so `sample` bounds it too
+    (and what is broadcast to count its terms in all documents)."""
     chosen = labels.dropna().groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = chosen.join(documents.select("doc_id", "text"), "doc_id").filter("text is not null").orderBy("doc_id").collect()
-    frequency, n = document_frequency(documents)
     topics = [tuple(r) for r in subjects.filter("subject is not null").groupBy("subject").agg(F.max("description")).orderBy("subject").collect()]
+    terms = telling_terms([r["text"] for r in rows]) | {w for _, t in topics if t for w in TOKEN.findall(t.lower()) if w not in ENDS}
+    frequency, n = document_frequency(documents, terms)
     return fit([r["text"] for r in rows], [set(r["subjects"]) for r in rows], topics, frequency, n, rank)
 
 
