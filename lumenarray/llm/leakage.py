@@ -107,9 +107,10 @@ def piece_hashes(ids: np.ndarray, n: int, shorter: np.ndarray | None = None) ->
 
 
 def laid(seqs: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences end to end with gaps of 0 before, between and after them; where each begins."""
+    """Sequences end to end with gaps of 0 before, between and after them (two
+    after the last); where each begins."""
     base = gap + np.append(0, np.cumsum([len(s) + gap for s in seqs])).astype(np.int64)
-    flat = np.zeros(base[-1], np.int32)
+    flat = np.zeros(base[-1] + gap, np.int32)
     for s, b in zip(seqs, base.tolist(), strict=False):
         flat[b : b + len(s)] = s
     return flat, base[:-1]
@@ -253,19 +254,26 @@ def candidates(ids: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, n
     return (np.concatenate(at), np.concatenate(place), np.concatenate(length)) if at else (none, none, none)
 
 
-def windows(ids: np.ndarray, items: Items, at: np.ndarray, place: np.ndarray, length: np.ndarray, size: int, errors: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def short(ids: np.ndarray) -> np.ndarray:
+    """One byte of each word's number, 0 for none: enough to rule windows out."""
+    return np.where(ids > 0, (ids * 40_503 >> 4) % 255 + 1, 0).astype(np.uint8)
+
+
+def windows(ids: np.ndarray, items: np.ndarray, at: np.ndarray, place: np.ndarray, size: int, errors: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows of `size` words around hits, from low to high: hit and start in
     the items of each in which at most `errors` words are missing from the
-    neighbouring diagonals, as in any window within that distance."""
-    reach = np.arange(2 * size)
-    there = np.zeros((len(at), 2 * size), bool)
-    mine = items.flat[np.clip(at[:, None] - size + reach, 0, len(items.flat) - 1)]
-    text = ids[np.clip(place[:, None] - size - errors + np.arange(2 * size + 2 * errors), 0, len(ids) - 1)]
+    neighbouring diagonals, as in any window within that distance. ids and
+    items: the texts' and the items' words by their `short` bytes, whose gaps
+    are wider than any window reaches."""
+    rows = np.lib.stride_tricks.sliding_window_view
+    mine = rows(items, 2 * size)[at - size]
+    text = rows(ids, 2 * size + 2 * errors)[place - size - errors]
+    there = np.zeros(mine.shape, bool)
     for s in range(2 * errors + 1):
         there |= mine == text[:, s : s + 2 * size]
     there &= mine > 0
-    total = np.zeros((len(at), 2 * size + 1), np.int16)
-    np.cumsum(there, axis=1, out=total[:, 1:])
+    total = np.zeros((len(at), 2 * size + 1), np.uint8)
+    np.cumsum(there, axis=1, out=total[:, 1:], dtype=np.uint8)
     hit, start = np.nonzero(total[:, size:] - total[:, : size + 1] >= size - errors)
     start = at[hit] - size + start
     fits = (start >= low[hit]) & (start <= high[hit])
@@ -278,9 +286,10 @@ def leaks(docs: list[np.ndarray], items: Items, run: int = RUN, errors: int = ER
     standing formulas, LEAST_OWN others must be matched, in one stretch or more."""
     ids, base = laid(docs, run + 2 * errors)
     at, place, length = candidates(ids, items)
+    text_bytes, item_bytes = short(ids), short(items.flat)
     item = np.searchsorted(items.base, at, side="right") - 1
     sizes = np.array([len(s) for s in items.words], np.int64)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    best: list[np.ndarray] = []
     for size in np.unique(np.minimum(sizes[item], run)).tolist():
         budget = errors * size // run
         mine = np.flatnonzero(np.minimum(sizes[item], run) == size)
@@ -289,11 +298,12 @@ def leaks(docs: list[np.ndarray], items: Items, run: int = RUN, errors: int = ER
             x = mine[a : a + PART]
             low = np.maximum(items.base[item[x]], at[x] + length[x] - size)
             high = np.minimum(items.base[item[x]] + sizes[item[x]] - size, at[x])
-            hit, start = windows(ids, items, at[x], place[x], length[x], size, budget, low, high)
-            found.append(np.stack([start, start + (place[x] - at[x])[hit] - budget, item[x][hit]], axis=1))
-        todo = np.unique(np.concatenate(found), axis=0)
+            hit, start = windows(text_bytes, item_bytes, at[x], place[x], size, budget, low, high)
+            found.append(start << 32 | start + (place[x] - at[x])[hit])  # one number, quick to sort
+        todo = np.unique(np.concatenate(found))
         for a in range(0, len(todo), PART):
-            start, text, k = todo[a : a + PART].T
+            start, text = todo[a : a + PART] >> 32, (todo[a : a + PART] & 0xFFFFFFFF) - budget
+            k = np.searchsorted(items.base, start, side="right") - 1
             patterns = items.flat[start[:, None] + np.arange(size)].astype(np.int64)
             texts = ids[np.clip(text[:, None] + np.arange(size + 2 * budget), 0, len(ids) - 1)].astype(np.int64)
             distance, end = myers(patterns, np.full(len(start), size), texts)
@@ -302,12 +312,17 @@ def leaks(docs: list[np.ndarray], items: Items, run: int = RUN, errors: int = ER
             enough = near & own.all(axis=1)
             check = np.flatnonzero(near & ~enough & (own.sum(axis=1) >= LEAST_OWN))
             enough[check] = own_words(patterns[check], own[check], texts[check]) >= LEAST_OWN
-            for r in np.flatnonzero(enough).tolist():
-                word = int(text[r] + end[r])
-                d = int(np.searchsorted(base, word, side="right")) - 1
-                new = int(distance[r]), int(start[r] - items.base[k[r]]), word - int(base[d])
-                best[d, int(k[r])] = min(best.get((d, int(k[r])), new), new)
-    return [(d, k, *v) for (d, k), v in best.items()]
+            r = np.flatnonzero(enough)
+            word = text[r] + end[r]
+            d = np.searchsorted(base, word, side="right") - 1
+            best.append(np.stack([d, k[r], distance[r], start[r] - items.base[k[r]], word - base[d]], axis=1))
+    if not best:
+        return []
+    rows = np.concatenate(best)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    return [tuple(x) for x in rows[first].tolist()]
 
 
 def find(documents: DataFrame, eval_items: DataFrame, run: int = RUN, errors: int = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
