@@ -19,8 +19,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_members(spark: SparkSession, d: str) -> DataFrame:
-    """Each usable signature with its source, as the mixture alone has it."""
-    return mixture.sources(table(spark, d, "unknown_clusters")).select("id", "source", (F.col("id") == F.col("source")).alias("representative"))
+    """Each usable signature with the size of its source and the source's least
+    id, as the mixture alone has it, without a look at any cosine."""
+    m = mixture.sources(table(spark, d, "unknown_clusters")).select("id", "source")
+    return m.join(m.groupBy("source").agg(F.min("id").alias("least"), F.count("*").alias("size")), "source").select("id", "least", "size")
+
+
+def p4_representatives(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's representative, the member of highest density that most others are linked to, with the source's size."""
+    return mixture.sources(table(spark, d, "unknown_clusters")).groupBy(F.col("source").alias("representative")).agg(F.count("*").alias("size"), F.sum("n_events").alias("n_events"))
 
 
 def p4_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +72,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return p9_subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_members, p4_sources, p9_found, p9_subjects, p9_shares, p6_found, p6_pairs, p7_found, p7_leaks, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_members, p4_representatives, p4_sources, p9_found, p9_subjects, p9_shares, p6_found, p6_pairs, p7_found, p7_leaks, p8_mix, p8_shares)}
 
 SQL = {
     "p4_found": """with ok as (select id, vec, row_number() over (partition by id order by last_seen desc nulls last, n_events desc nulls last) as k from unknown_clusters where id is not null and len(vec) = 64 and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0),
@@ -74,6 +81,10 @@ select a.id as id_a, b.id as id_b from u a join u b on a.id < b.id and list_dot_
     "p6_found": f"""with {VERDICT_TIMES}
 select event_file, file, event_id from (select d.event_file, x.file, x.event_id, row_number() over (partition by d.event_file order by abs(x.at_ms - d.origin_ms), x.file, x.event_id) as k from dec d join vt x on d.arr = x.arr and x.at_ms between d.origin_ms - 20000 and d.origin_ms + 20000) where k = 1""",
 }
+SQL["p6_pairs"] = SQL["p6_found"].replace("select event_file, file, event_id from (select d.event_file, x.file, x.event_id,", "select event_file, file, event_id, gap_ms from (select d.event_file, x.file, x.event_id, abs(x.at_ms - d.origin_ms) as gap_ms,")
+SQL["p4_members"] = """with ok as (select id, vec, row_number() over (partition by id order by last_seen desc nulls last, n_events desc nulls last) as k from unknown_clusters where id is not null and len(vec) = 64 and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0),
+u as (select id, vec::double[] as v, sqrt(list_dot_product(vec::double[], vec::double[])) as n from ok where k = 1)
+select a.id, min(b.id) as least, count(*) as size from u a join u b on list_dot_product(a.v, b.v) >= 0.785 * a.n * b.n group by a.id"""
 
 
 def queries() -> dict:
