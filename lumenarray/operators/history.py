@@ -41,21 +41,30 @@ def change_log(statements: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
     return p.filter(changed).select("entity", "attribute", dated.alias("valid_from"), "at", "value")
 
 
-def combine(log: DataFrame, attributes: list[str]) -> DataFrame:
+def combine(log: DataFrame, attributes: list[str], bucket_s: int = BUCKET_S) -> DataFrame:
     """Versions of the whole entity from the logs of its attributes.
 
     Splits at the union of the boundary dates, takes each attribute's value
     as of each date and coalesces neighbours that are alike. Output: entity,
     valid_from, valid_to (null for the present version), one column per
-    attribute. The log has one row per change only, so it is small against
-    the statements it comes from.
+    attribute. Like the logs themselves, dates are put in order within time
+    buckets; only each bucket's last values are carried over, so an entity that
+    changes with most rows isn't gathered in one task.
     """
-    at = _as_of_dates(log, attributes)
-    order = Window.partitionBy("entity").orderBy("valid_from")
-    filled = at.select("entity", "valid_from", *(F.last(a, ignorenulls=True).over(order).getField("value").alias(a) for a in attributes))
+    at = _as_of_dates(log, attributes).withColumn("_bucket", F.floor(F.col("valid_from") / bucket_s))
+    within = Window.partitionBy("entity", "_bucket").orderBy("valid_from")
+    ends = at.groupBy("entity", "_bucket").agg(*(F.max_by(a, F.when(F.col(a).isNotNull(), F.col("valid_from"))).alias(a) for a in attributes))
+    before = Window.partitionBy("entity").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("entity", "_bucket", *(F.last(a, ignorenulls=True).over(before).alias(f"_{a}") for a in attributes))
+    d = at.select("entity", "_bucket", "valid_from", *(F.last(a, ignorenulls=True).over(within).alias(a) for a in attributes)).join(carried, ["entity", "_bucket"])
+    filled = d.select("entity", "valid_from", *(F.coalesce(a, f"_{a}").getField("value").alias(a) for a in attributes))
     state = F.struct(*attributes)
-    kept = filled.withColumn("_before", F.lag(state).over(order)).filter(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state))
-    return kept.select("entity", "valid_from", F.lead("valid_from").over(order).alias("valid_to"), *attributes)
+    p = previous_in_order(filled, ["entity"], ["valid_from"], F.floor(F.col("valid_from") / bucket_s), attributes)
+    kept = p.filter(F.col("prev").isNull() | ~F.col("prev").eqNullSafe(state)).select("entity", "valid_from", *attributes)
+    # the next version is the one before in reverse order
+    back = kept.withColumn("_back", -F.col("valid_from"))
+    n = previous_in_order(back, ["entity"], ["_back"], F.floor(F.col("_back") / bucket_s), ["valid_from"])
+    return n.select("entity", "valid_from", F.col("prev.valid_from").alias("valid_to"), *attributes)
 
 
 def _as_of_dates(log: DataFrame, attributes: list[str]) -> DataFrame:

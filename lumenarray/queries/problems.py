@@ -9,12 +9,17 @@ from lumenarray.operators import drift, history, nested, spikes
 from lumenarray.session import table
 
 
-def p1_versions(spark: SparkSession, d: str) -> DataFrame:
+def p1_history(spark: SparkSession, d: str) -> DataFrame:
     return history.profile_versions(table(spark, d, "array_profiles"), table(spark, d, "array_profile_history"))
 
 
+def p1_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Every version with its period and SNR50 as a number."""
+    return p1_history(spark, d).select("array_id", "valid_from", "valid_to", F.col("snr50").cast("double").alias("snr50"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_versions(spark, d).select("array_id", F.floor("valid_from").cast("bigint").alias("valid_from_s")).distinct()
+    return p1_history(spark, d).select("array_id", F.floor("valid_from").cast("bigint").alias("valid_from_s")).distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +46,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.ledger_cases(table(spark, d, "ledger"), table(spark, d, "arrays"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p2_unified, p3_found, p3_children, p5_found, p5_flags)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p1_history, p2_found, p2_unified, p3_found, p3_children, p5_found, p5_flags)}
 
 SQL = {}
 
@@ -63,6 +68,11 @@ select distinct array_id, cast(floor(case when opens0 = 0 then t0 else t end) as
 from seen where k = 1 or thr is distinct from thr0 or snr50 is distinct from snr0
 """
 
+SQL["p1_versions"] = _STATEMENTS + """,
+marked as (select array_id, case when opens0 = 0 then t0 else t end as valid_from, thr, snr50, t, opens from seen where k = 1 or thr is distinct from thr0 or snr50 is distinct from snr0)
+select array_id, valid_from, lead(valid_from) over (partition by array_id order by t, opens, thr, snr50) as valid_to, snr50 from marked
+"""
+
 NOW = """
 now as (select * from (select *, row_number() over (partition by event_file order by ts desc nulls last) as k from ledger where event_file is not null) where k = 1),
 placed as (
