@@ -3,6 +3,7 @@
 import json
 import random
 
+from lumenarray.operators import nested
 from lumenarray.operators.nested import flatten
 
 TREE = {"candidates": {"curve": {}, "picks": {}}}
@@ -104,3 +105,63 @@ def test_links_and_values(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_children_against_plain_parsing(spark):
+    from lumenarray.functions.files import current
+    from lumenarray.session import table
+
+    d = "/root/testdata/sf0.001"
+
+    def no(_):
+        raise ValueError
+
+    def parsed(x):
+        try:
+            return json.loads(x, parse_constant=no)
+        except (ValueError, TypeError):
+            return None
+
+    def inner(x):
+        return parsed(x) if isinstance(x, str) else x
+
+    def elements(v):
+        v = inner(v)
+        if isinstance(v, dict) and v and all(k.isdigit() for k in v):
+            v = [(int(k), e) for k, e in v.items()]
+        elif isinstance(v, dict):
+            v = [(0, v)]
+        else:
+            v = list(enumerate(v)) if isinstance(v, list) else []
+        return [(i, inner(e)) for i, e in v if isinstance(inner(e), dict)]
+
+    want = {}
+
+    def walk(root, parent, path, v, tree):
+        for i, e in elements(v):
+            here = f"{path}[{i}]"
+            want[root, here] = parent, i, e
+            for name, below in tree.items():
+                if name in e:
+                    walk(root, here, f"{here}.{name}", e[name], below)
+
+    trees = {"metrics_json": {"candidates": {"curve": {}, "picks": {}}}, "gt_json": {"magnitudes": {}}}
+    for r in current(table(spark, d, "ledger"), "metrics_json", "gt_json").collect():
+        for column, tree in trees.items():
+            whole = inner(parsed(r[column]))
+            if isinstance(whole, dict):
+                for name, below in tree.items():
+                    if name in whole:
+                        walk(r.event_file, column, f"{column}.{name}", whole[name], below)
+    for r in table(spark, d, "resultados").filter("phases is not null").collect():
+        walk(f"{r.file}/{r.event_id}", "phases", "phases", parsed(r.phases), {})
+    got = {(r.root, r.path): r for r in nested.verdict_children(table(spark, d, "ledger"), table(spark, d, "resultados")).collect()}
+    assert got.keys() == want.keys() and len(got) > 500
+    for key, (parent, i, e) in want.items():
+        r = got[key]
+        assert r.position == i and json.loads(inner_text(r.value)) == e, (key, r.value, e)
+        assert r.parent_path == (parent if "[" in parent else None)  # the root itself is no child
+
+
+def inner_text(value):
+    return json.loads(value) if value.startswith('"') else value
