@@ -219,6 +219,7 @@ def _one_pass(buf, starts, ends, texts, nodes: Nodes, out: list[list]) -> list[t
     member[top[(kinds == 0) & is_object[top]]] = 0
     found = top[kinds == 1]
     role[found] = base[ix.doc[found]]
+    up[found] = [x.rpartition(".")[0] or None for x in path[found]]
     lists(found)
     found = top[(kinds == 2) & is_object[top]]
     member[found] = base[ix.doc[found]]
@@ -293,8 +294,7 @@ def flatten(df: DataFrame, root: str, text: str, tree: Tree, is_list: bool, with
     """Child objects of the JSON column `text`, each linked to its parent.
 
     Output (CHILDREN): root, parent_path (the name of the JSON column
-    if the parent is the record),
-    path, list (the list's name), position, value (the object's own text).
+    if the parent is the record; null if the list is the record), path, list (the list's name), position, value (the object's own text).
     A lone object counts as a list of one, an object keyed by positions as a
     list, and a document or list written as text in a string as what it says.
     Null and scalar elements keep their position and give no row; broken JSON,
