@@ -10,6 +10,7 @@ bucket to bucket, so no task holds a whole source.
 from __future__ import annotations
 
 import base64
+import math
 import os
 from collections.abc import Iterator
 
@@ -68,6 +69,25 @@ def running(df: DataFrame, keys: list[str], buckets: list[str], order: list[str]
     return df.withColumn("_in", F.sum(size).over(within)).join(offsets, [*keys, *buckets]).withColumn(into, F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
+def needed_copies(sources: list[tuple[str, int, int, float, int]], budget: int) -> list[tuple[str, int]]:
+    """How many copies of each source the mixture can reach at most.
+
+    sources: name, tokens, greatest document, weight, repeats. At virtual time
+    v a source has at most min(weight * v, tokens * repeats) tokens in the
+    mixture, and at least that less one document. So once these sums come to
+    the budget and one document of each source, the budget has been passed.
+    """
+    goal = budget + sum(m for _, _, m, _, _ in sources)
+    ends = sorted((a * r / w, w, a * r) for _, a, _, w, r in sources)
+    full, rate, v = 0.0, sum(w for _, w, _ in ends), float("inf")
+    for end, w, whole in ends:
+        if full + rate * end >= goal:
+            v = (goal - full) / rate
+            break
+        full, rate = full + whole, rate - w
+    return [(s, r if v == float("inf") else min(r, math.ceil(w * v / a + 1e-6))) for s, a, _, w, r in sources]
+
+
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str = VOCABULARY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The mixture: doc_id, source, copy (from 1), tokens, finish, ends_at.
 
@@ -83,8 +103,12 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str
     budget, rows = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     t = targets.filter("source is not null and target_share > 0").groupBy(clean_source(F.col("source")).alias("source")).agg(F.max("target_share").alias("weight"), F.max(F.greatest("max_repeats", F.lit(1))).alias("repeats"))
     used = counted.filter("tokens > 0").join(t, "source")
+    # one row a target comes to the driver
+    sources = [tuple(r) for r in used.groupBy("source").agg(F.sum("tokens"), F.max("tokens"), F.max("weight"), F.max("repeats")).collect()]
+    reach = documents.sparkSession.createDataFrame(needed_copies(sources, budget), "source string, copies int")
+    used = used.drop("repeats").join(reach, "source")
     n = max(1, -(-rows // bucket_rows))
-    copies = used.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).withColumn("_u", F.xxhash64("doc_id", "copy", F.lit(seed))).withColumn("_b", F.pmod("_u", F.lit(n)))
+    copies = used.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies").withColumn("_u", F.xxhash64("doc_id", "copy", F.lit(seed))).withColumn("_b", F.pmod("_u", F.lit(n)))
     queued = running(copies, ["source"], ["copy", "_b"], ["_u", "doc_id"], "tokens", "_c").withColumn("finish", F.col("_c") / F.col("weight"))
     # the fluid schedule ends at about `budget`; each finish bucket holds a like share
     wide = max(1.0, budget / n)

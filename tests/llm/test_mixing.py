@@ -59,3 +59,30 @@ def test_empty(spark):
     assert mixing.mix(d, t).count() == 0
     d, t = tables(spark, [(1, "a", "s")], [])
     assert mixing.mix(d, t).count() == 0
+
+
+def test_copies_beyond_the_budget_are_never_made():
+    import random
+
+    from lumenarray.llm.mixing import needed_copies
+
+    r = random.Random(4)
+    for _ in range(300):
+        docs = {s: [r.randint(1, 60) for _ in range(r.randint(1, 12))] for s in "abcd"[: r.randint(1, 4)]}
+        weight, repeats = {s: r.uniform(0.05, 1) for s in docs}, {s: r.randint(1, 6) for s in docs}
+        budget = r.randint(1, 2 * sum(map(sum, docs.values())))
+        queue = []
+        for s, sizes in docs.items():
+            c = 0
+            for copy in range(1, repeats[s] + 1):
+                for x in sizes:
+                    c += x
+                    queue.append((c / weight[s], s, copy, x))
+        most, total = {}, 0
+        for _, s, copy, x in sorted(queue):
+            total += x
+            if total > budget:
+                break
+            most[s] = max(most.get(s, 0), copy)
+        got = dict(needed_copies([(s, sum(x), max(x), weight[s], repeats[s]) for s, x in docs.items()], budget))
+        assert all(got[s] >= n for s, n in most.items()) and all(1 <= got[s] <= repeats[s] for s in docs)
