@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenarray.operators.ordered import previous_in_order
+from lumenarray.session import cut
 
 BUCKET_S = 30 * 86400
 
@@ -60,7 +61,7 @@ def combine(log: DataFrame, attributes: list[str], bucket_s: int = BUCKET_S) ->
     filled = d.select("entity", "valid_from", *(F.coalesce(a, f"_{a}").getField("value").alias(a) for a in attributes))
     state = F.struct(*attributes)
     p = previous_in_order(filled, ["entity"], ["valid_from"], F.floor(F.col("valid_from") / bucket_s), attributes)
-    kept = p.filter(F.col("prev").isNull() | ~F.col("prev").eqNullSafe(state)).select("entity", "valid_from", *attributes)
+    kept = cut(p.filter(F.col("prev").isNull() | ~F.col("prev").eqNullSafe(state)).select("entity", "valid_from", *attributes))
     # the next version is the one before in reverse order
     back = kept.withColumn("_back", -F.col("valid_from"))
     n = previous_in_order(back, ["entity"], ["_back"], F.floor(F.col("_back") / bucket_s), ["valid_from"])
@@ -99,5 +100,5 @@ def profile_versions(profiles: DataFrame, history: DataFrame) -> DataFrame:
     Output: array_id, valid_from, valid_to, thresholds, snr50 (text forms).
     Empty inputs give no versions.
     """
-    log = change_log(profile_statements(profiles, history))
+    log = cut(change_log(profile_statements(profiles, history)))  # one row a change, read by several steps
     return combine(log, ["thresholds", "snr50"]).withColumnRenamed("entity", "array_id")
