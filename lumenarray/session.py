@@ -32,15 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     cluster the setting is required, as a machine-local folder would be lost
     with its machine.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
+    if not path and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
+    return path or sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, label: str) -> str:
