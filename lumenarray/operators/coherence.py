@@ -283,7 +283,10 @@ def stacked(events: DataFrame, waves: DataFrame, cfg: Coherence = Coherence(), f
         row = {"arr": one["arr"], "event_id": one["event_id"], "semblances": curve.tolist(), "k": k, "p": float(grid[k]), "semblance": min(1.0, max(0.0, float(curve[k]))), "boundary": not inner, "v": 1 / float(grid[k]), "n_coherent": coherent_count(traces, margin, float(grid[k]), cfg.channel_corr), "t_p": t_p, "t_s": t_s}
         return pd.DataFrame([row])
 
-    return d.groupBy(*EVENT).applyInPandas(run, STACK)
+    # windows are small and their stack is dear: an explicit number of parts keeps
+    # them from being coalesced by size, on the keys that the grouping asks for
+    parts = int(waves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartition(parts, *EVENT).groupBy(*EVENT).applyInPandas(run, STACK)
 
 
 def semblance(stack: DataFrame, cfg: Coherence = Coherence()) -> DataFrame:
